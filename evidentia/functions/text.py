@@ -18,17 +18,17 @@ from pyspark.sql import types as T
 
 # The white space set the contract is written against. Java's own
 # \s is ASCII only, so every pattern spells the set out.
-SPACE = r"\t\n\x0B\f\r    -     　﻿"
+SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 # Characters that compatibility normalization leaves alone and
 # that never combine with a neighbour. Anything else takes the UDF path.
 STABLE = (
     r"\x00-\x7F"
-    r"¡-§©«-®°±¶·»¿-ı"
-    r"Ĵ-ľŁ-ňŊ-ž"
-    r"Ѐ-҂Ҋ-ԯ"
-    r"‐‒-‖‘-‣‰-′‹-※"
-    r"、-〠ぁ-ゖァ-ヺ一-鿿"
+    r"\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0-\u00B1\u00B6-\u00B7\u00BB\u00BF-\u0131"
+    r"\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+    r"\u0400-\u0482\u048A-\u052F"
+    r"\u2010\u2012-\u2016\u2018-\u2023\u2030-\u2032\u2039-\u203B"
+    r"\u3001-\u3020\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF"
 )
 
 # Question wrapper terms that never take part in scoring.
@@ -37,7 +37,7 @@ STOP_TERMS = (
     "tell the this to us we what when where which who why with you your"
 ).split() + "什么 如何 怎么 怎样 哪些 是否 可以 请问 能否 吗 呢 帮我 给我 我想".split()
 
-_FIRST_HAN = "⺀"
+_FIRST_HAN = "\u2E80"
 _INDEX_TOKEN = r"\p{IsHan}+|[a-z0-9]+(?:['-][a-z0-9]+)*"
 _QUERY_TOKEN = r"\p{IsHan}+|[a-z0-9]+"
 
@@ -69,17 +69,25 @@ def fold(c: Column) -> Column:
     return F.lower(nfkc(c))
 
 
+def strip_phrase(folded: Column) -> Column:
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "")
+
+
 def normalize_phrase(c: Column) -> Column:
-    return F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", "")
+    return strip_phrase(fold(c))
 
 
-def normalize_query(c: Column) -> Column:
-    """Words and Han runs separated by single spaces."""
-    text = F.regexp_replace(fold(c), r"([a-z0-9])(\p{IsHan})", "$1 $2")
+def normalize_query_folded(folded: Column) -> Column:
+    text = F.regexp_replace(folded, r"([a-z0-9])(\p{IsHan})", "$1 $2")
     text = F.regexp_replace(text, r"(\p{IsHan})([a-z0-9])", "$1 $2")
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
+def normalize_query(c: Column) -> Column:
+    """Words and Han runs separated by single spaces."""
+    return normalize_query_folded(fold(c))
+
+
 def unique_key(c: Column) -> Column:
     return F.regexp_replace(fold(c), rf"[\p{{P}}\p{{S}}{SPACE}]", "")
 
@@ -118,7 +126,11 @@ def _tokens(text: Column, pattern: str, keep_single_han: bool) -> Column:
 
 def build_terms(c: Column) -> Column:
     """Distinct index terms in first-seen order: Han bigrams and ASCII words."""
-    return _tokens(fold(c), _INDEX_TOKEN, keep_single_han=True)
+    return build_terms_folded(fold(c))
+
+
+def build_terms_folded(folded: Column) -> Column:
+    return _tokens(folded, _INDEX_TOKEN, keep_single_han=True)
 
 
 def build_query_terms(normalized: Column) -> Column:
