@@ -120,7 +120,7 @@ def with_page_meta(pages: DataFrame, sources: DataFrame, page_meta: DataFrame) -
     meta = page_meta.select(
         "project_id", "page", F.col("role").alias("_role"), F.col("density").alias("_density"))
     joined = pages.join(
-        sources.drop("structured_text", "ordinal"), "source_id"
+        sources.drop("structured_text"), "source_id"
     ).join(meta, ["project_id", "page"], "left")
     fixed = F.col("kind").isin("profile", "resume")
     valid = F.col("_density").isin(*DENSITIES) & (F.col("_role") != "")
@@ -194,7 +194,7 @@ def excerpt_chunks(
 ) -> DataFrame:
     """Source-excerpt rows of the canonical chunk layout, plus order columns."""
     placed = with_page_meta(pages, sources, page_meta)
-    chunks = chunk_pages(placed, config).join(sources.select("source_id", "ordinal"), "source_id")
+    chunks = chunk_pages(placed, config)
     metadata = F.concat_ws(" ", "title", F.array_join("aliases", " "), F.array_join("tags", " "), "text")
     empty = F.array().cast(_NO_STRINGS)
     return chunks.select(
@@ -219,10 +219,13 @@ def build_index(excerpts: DataFrame, claims: DataFrame, allow: list[str] = []) -
     """
     rows = excerpts.withColumn("part", F.lit(0)).unionByName(
         claims.withColumn("part", F.lit(1)), allowMissingColumns=True)
-    gate = privacy_gate(rows, "text", allow)
+    published = F.concat_ws(
+        "\n", "id", "title", "text", "citation_label", "public_href", "page_role",
+        *[F.array_join(c, "\n") for c in ("aliases", "tags", "question_aliases")])
+    gate = privacy_gate(rows.withColumn("_published", published), "_published", allow)
     return {
-        "index": gate["safe"],
-        "quarantined": gate["quarantined"],
+        "index": gate["safe"].drop("_published"),
+        "quarantined": gate["quarantined"].drop("_published"),
         "violations": check_unique(rows, "id", rule="duplicate_chunk"),
     }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.config import SENTINEL_CODE_POINTS
 from evidentia.functions import privacy
 from evidentia.functions.text import SPACE, nfkc, sha256_hex
-from evidentia.operators.common import salted_join, union_all
+from evidentia.operators.common import bounded_broadcast, salted_join, union_all
 
 
 def privacy_findings(df: DataFrame, key: str, column: str, allow: list[str] = []) -> DataFrame:
@@ -130,12 +130,22 @@ def leak_scan(targets: DataFrame, sentinels: DataFrame, key: str, column: str,
             lambda w, s=size: F.transform(_character_grams(w, s), lambda g: F.concat(F.lit("c:"), g)))))
     if not parts:
         return targets.select(key, F.lit(None).cast("string").alias("sentinel_sha256")).limit(0)
+    # Only the key and an eight-byte hash per anchor leave the scan; the text is
+    # fetched again for the few candidate pairs, where equality is proven.
     exploded = targets.select(
-        key, F.col(column).alias("_text"), _words(F.col(column)).alias("_words")
-    ).select(key, "_text", F.explode(F.array_distinct(F.concat(*parts))).alias("anchor"))
-    matched = salted_join(exploded, anchored, ["anchor"], F.col(key))
+        F.col(key), _words(F.col(column)).alias("_words")
+    ).select(key, F.explode(F.array_distinct(
+        F.transform(F.concat(*parts), lambda a: F.xxhash64(a)))).alias("anchor"))
+    hashed = anchored.select(F.xxhash64("anchor").alias("anchor"), "value")
+    wanted = hashed.select("anchor").distinct()
+    small = bounded_broadcast(wanted)
+    if small is not None:
+        exploded = exploded.join(small, "anchor", "left_semi")
+    pairs = salted_join(exploded, hashed, ["anchor"], F.col(key)).select(key, "value").distinct()
+    texts = targets.select(key, F.col(column).alias("_text"))
     return (
-        matched.filter(F.contains("_text", F.col("value")))
+        pairs.join(texts, key)
+        .filter(F.contains("_text", F.col("value")))
         .select(key, sha256_hex(F.col("value")).alias("sentinel_sha256"))
         .distinct()
     )
