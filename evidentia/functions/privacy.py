@@ -164,11 +164,15 @@ def redact(c: Column, allow: list[str] | tuple[str, ...] = (), mark: str = "[red
         )
         return F.when(private, F.lit(mark)).otherwise(line)
 
-    text = F.regexp_replace(c, email, mark)
-    labelled = LABELLED.replace("([+()", "[+()").replace(r"]{5,}\d)", r"]{5,}\d")
-    for pattern in (labelled, INTERNATIONAL, MOBILE, QQ, LOCAL):
-        text = F.regexp_replace(text, pattern, mark)
-    return F.array_join(F.transform(_lines(text), clean_line), "\n")
+    found = {n: h for n, h in rules(c, allow).items() if n not in ("email", "address")}
+    numbers = F.array_sort(
+        F.array_distinct(F.flatten(F.array(*[
+            F.coalesce(h, F.array().cast("array<string>")) for h in found.values()]))),
+        lambda a, b: F.char_length(b) - F.char_length(a))
+    text = F.aggregate(numbers, F.regexp_replace(c, email, mark),
+                       lambda acc, v: F.replace(acc, v, F.lit(mark)))
+    private = F.size(address_hits(c)) > 0
+    return F.when(private, F.array_join(F.transform(_lines(text), clean_line), "\n")).otherwise(text)
 
 
 def secret_hits(c: Column, known: list[str] | tuple[str, ...] = ()) -> Column:

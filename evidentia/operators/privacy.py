@@ -13,13 +13,12 @@ from evidentia.operators.common import bounded_broadcast, salted_join, union_all
 
 def privacy_findings(df: DataFrame, key: str, column: str, allow: list[str] = []) -> DataFrame:
     """(key, rule, value) per hit; every rule reads the text once."""
-    hits = [
-        F.transform(
+    def tagged(rule: str, values: Column) -> Column:
+        return F.transform(
             F.coalesce(values, F.array().cast("array<string>")),
-            lambda v, rule=rule: F.struct(F.lit(rule).alias("rule"), v.alias("value")),
-        )
-        for rule, values in privacy.rules(F.col("_safe"), allow).items()
-    ]
+            lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
+
+    hits = [tagged(rule, values) for rule, values in privacy.rules(F.col("_safe"), allow).items()]
     return df.select(key, nfkc(F.col(column)).alias("_safe")).select(key, F.inline(F.concat(*hits)))
 
 
@@ -65,6 +64,13 @@ def _character_grams(word: Column, size: int) -> Column:
         lambda i: F.substring(word, i, F.lit(size)))
 
 
+def _grams_of_words(words: Column, size: int) -> Column:
+    """Anchors from every run of ``size`` characters inside one word."""
+    long_words = F.filter(F.array_distinct(words), lambda w: F.char_length(w) >= size)
+    return F.flatten(F.transform(long_words, lambda w: F.transform(
+        _character_grams(w, size), lambda g: F.concat(F.lit("c:"), g))))
+
+
 def sentinels_of(index: DataFrame, digests: DataFrame) -> DataFrame:
     """Values that must not leave the corpus: digests, chunk ids and long texts."""
     return union_all([
@@ -124,10 +130,7 @@ def leak_scan(targets: DataFrame, sentinels: DataFrame, key: str, column: str,
     if ("w", 0) in kinds:
         parts.append(F.transform(words, lambda w: F.concat(F.lit("w:"), w)))
     for size in sorted(size for kind, size in kinds if kind == "c"):
-        long_words = F.filter(F.array_distinct(words), lambda w, s=size: F.char_length(w) >= s)
-        parts.append(F.flatten(F.transform(
-            long_words,
-            lambda w, s=size: F.transform(_character_grams(w, s), lambda g: F.concat(F.lit("c:"), g)))))
+        parts.append(_grams_of_words(words, size))
     if not parts:
         return targets.select(key, F.lit(None).cast("string").alias("sentinel_sha256")).limit(0)
     # Only the key and an eight-byte hash per anchor leave the scan; the text is
