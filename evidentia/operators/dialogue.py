@@ -190,9 +190,10 @@ def build_prompts(queries: DataFrame, results: DataFrame, chunks: DataFrame, fac
         F.col("public_href").alias("publicHref"))
     packets = results.filter(F.col("rank") <= MAX_SOURCES).join(fields, "chunk_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", excerpt.alias("e"), source.alias("s")))).alias("p"))
-    fact_list = facts.agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("f")).scalar()
-    fact_json = F.to_json(F.transform(
-        fact_list, lambda f, i: F.struct((i + 1).alias("fact"), f["text"].alias("text"))))
+    numbered = F.transform(
+        F.array_sort(F.collect_list(F.struct("id", "text"))),
+        lambda f, i: F.struct((i + 1).alias("fact"), f["text"].alias("text")))
+    fact_json = facts.agg(F.to_json(numbered).alias("f")).scalar()
     empty_json = F.lit("[]")
     joined = queries.join(packets, "query_id", "left")
     message = F.struct(F.lit("user").alias("role"), F.col("message").alias("content"))

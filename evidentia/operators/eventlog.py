@@ -41,13 +41,20 @@ def _field_values(lines: Column, name: str) -> Column:
         F.substring(l, F.lit(len(name) + 2), F.char_length(l)), "^ ", ""))
 
 
+_END = "\u0004"
+
+
 def event_blocks(bodies: DataFrame) -> DataFrame:
-    """(resp_id, seq, block, terminated) of every non-empty block."""
-    blocks = F.split(_unix_lines(F.col("body")), "\n\n", -1)
-    placed = bodies.select("resp_id", F.size(F.split(_unix_lines(F.col("body")), "\n\n", -1)).alias("n"),
-                           F.posexplode(blocks).alias("seq", "block"))
+    """(resp_id, seq, block, terminated) of every non-empty block.
+
+    An end mark travels with the unterminated tail, so each block knows its own
+    state and the body is split only once.
+    """
+    blocks = F.split(F.concat(_unix_lines(F.col("body")), F.lit(_END)), "\n\n", -1)
+    placed = bodies.select("resp_id", F.posexplode(blocks).alias("seq", "raw"))
     return placed.select(
-        "resp_id", "seq", "block", (F.col("seq") < F.col("n") - 1).alias("terminated")
+        "resp_id", "seq", F.regexp_replace("raw", _END + "$", "").alias("block"),
+        (~F.col("raw").endswith(_END)).alias("terminated"),
     ).filter((F.col("block") != "") & (F.col("terminated") | F.col("block").rlike(f"[^{text.SPACE}]")))
 
 

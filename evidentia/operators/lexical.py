@@ -1,7 +1,7 @@
 """Inverted term index and binary BM25 with field boosts (many queries per job).
 
 The index is two tables. ``entries`` holds one row per chunk and distinct
-(field, key); keys are terms, or whole normalized phrases behind a marker that
+(field, key) with the project as ``scope``; keys are terms, or whole normalized phrases behind a marker that
 no term can contain. ``frequency`` counts chunks per body term. Queries explode
 to the same key space, so body terms, field boosts and phrase boosts are one
 equi-join and one additive aggregation; work grows with matches, not with
@@ -33,7 +33,7 @@ SCORE_DIGITS = 9
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``entries(chunk_id, source_id, body_length, field, key)`` and one-row
+    """``entries(chunk_id, source_id, scope, body_length, field, key)`` and one-row
     ``stats(n, average)``; ``frequency(key, df)`` where it has been stored."""
 
     entries: DataFrame
@@ -135,8 +135,10 @@ def field_terms(chunks: DataFrame, questions: bool = False) -> DataFrame:
             _entry("question", F.transform(
                 "question_phrases", lambda p: F.concat(F.lit(QUESTION_MARK), p))),
         ]
+    scope = F.coalesce("project_id", F.lit("")) if "project_id" in chunks.columns else F.lit("")
     return termed.select(
-        F.col("id").alias("chunk_id"), "source_id", "body_length", F.inline(F.concat(*arrays))
+        F.col("id").alias("chunk_id"), "source_id", scope.alias("scope"), "body_length",
+        F.inline(F.concat(*arrays))
     )
 
 
@@ -211,8 +213,12 @@ def weighted_keys(keys: DataFrame, index: LexicalIndex) -> DataFrame:
 
 
 def term_hits(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """One row per query, chunk and matching (field, key) with its contribution."""
-    hits = index.entries.join(weighted_keys(keys, index), "key")
+    """One row per query, chunk and matching (field, key) with its contribution.
+
+    Keys with a ``scope`` meet only the entries of that project.
+    """
+    on = ["key", "scope"] if "scope" in keys.columns else ["key"]
+    hits = index.entries.join(weighted_keys(keys, index), on)
     phrase = F.col("key").startswith(PHRASE_MARK)
     field_value = lambda table: F.coalesce(*[
         F.when(F.col("field") == name, F.lit(value)) for name, value in table.items()

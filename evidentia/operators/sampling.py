@@ -123,8 +123,8 @@ def assign_bands(df: DataFrame, key: str, seed: int) -> DataFrame:
     counts = {r["_class"]: r["n"] for r in rows.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = feasible_counts(counts)
     limits = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])
-    kept = positions(rows, ["_class"], "_order", block, [key], "_rank").filter(
-        F.col("_rank") < limits[F.col("_class")]).drop("_rank")
+    kept = positions(rows, ["_class"], "_order", block, [key], "_place").filter(
+        F.col("_place") < limits[F.col("_class")]).drop("_place")
     quota = quotas(sum(keep.values()))
     eligible = {
         "splash": F.col("_class") == "edge",
@@ -134,8 +134,8 @@ def assign_bands(df: DataFrame, key: str, seed: int) -> DataFrame:
     assigned = kept.withColumn("band", F.lit(None).cast("string"))
     for band, condition in eligible.items():
         open_rows = condition & F.col("band").isNull()
-        placed = positions(assigned.withColumn("_open", open_rows), ["_open"], "_order", block, [key], "_rank")
+        placed = positions(assigned.withColumn("_open", open_rows), ["_open"], "_order", block, [key], "_place")
         assigned = placed.withColumn(
-            "band", F.when(F.col("_open") & (F.col("_rank") < quota[band]), band).otherwise(F.col("band"))
-        ).drop("_open", "_rank")
+            "band", F.when(F.col("_open") & (F.col("_place") < quota[band]), band).otherwise(F.col("band"))
+        ).drop("_open", "_place")
     return assigned.select(*df.columns, F.coalesce("band", F.lit("micro")).alias("band"))
