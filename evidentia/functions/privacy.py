@@ -46,6 +46,8 @@ CERTAIN_ADDRESS = (
     rf"|[路街道巷]{_WS}*\d+{_WS}*号"
 )
 GENERIC_ADDRESS = rf"(?i){_L}address{_WS}*[:：]{_WS}*[^{SPACE}]"
+# What every address rule needs somewhere in the text.
+ADDRESS_TRACE = rf"(?i)address|地址|住址|[路街道巷]|\d[{SPACE}]+\p{{L}}"
 QQ = rf"(?i)(?:qq|扣扣){_WS}*[:：]?{_WS}*\d{{5,12}}"
 SECRET_KEY = r"sk-[A-Za-z0-9_-]{20,}"
 SECRET_MINIMUM = 8
@@ -116,11 +118,12 @@ def labelled_phone_hits(c: Column) -> Column:
 def address_hits(c: Column) -> Column:
     """Lines that state a private address; a technical address excuses only the
     generic label."""
-    return F.filter(
+    lines = F.filter(
         _lines(c),
         lambda line: line.rlike(CERTAIN_ADDRESS)
         | (line.rlike(GENERIC_ADDRESS) & ~line.rlike(TECHNICAL_ADDRESS)),
     )
+    return F.when(c.rlike(ADDRESS_TRACE), lines)
 
 
 def qq_hits(c: Column) -> Column:
@@ -171,7 +174,7 @@ def redact(c: Column, allow: list[str] | tuple[str, ...] = (), mark: str = "[red
         lambda a, b: F.char_length(b) - F.char_length(a))
     text = F.aggregate(numbers, F.regexp_replace(c, email, mark),
                        lambda acc, v: F.replace(acc, v, F.lit(mark)))
-    private = F.size(address_hits(c)) > 0
+    private = F.coalesce(F.size(address_hits(c)) > 0, F.lit(False))
     return F.when(private, F.array_join(F.transform(_lines(text), clean_line), "\n")).otherwise(text)
 
 

@@ -20,10 +20,9 @@ from pyspark.sql import types as T
 # \s is ASCII only, so every pattern spells the set out.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
-# Characters that compatibility normalization leaves alone and
-# that never combine with a neighbour. Anything else takes the UDF path.
+# Characters beyond ASCII that compatibility normalization leaves
+# alone and that never combine with a neighbour. Anything else takes the UDF path.
 STABLE = (
-    r"\x00-\x7F"
     r"\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0-\u00B1\u00B6-\u00B7\u00BB\u00BF-\u0131"
     r"\u0134-\u013E\u0141-\u0148\u014A-\u017E"
     r"\u0400-\u0482\u048A-\u052F"
@@ -38,8 +37,10 @@ STOP_TERMS = (
 ).split() + "什么 如何 怎么 怎样 哪些 是否 可以 请问 能否 吗 呢 帮我 给我 我想".split()
 
 _FIRST_HAN = "\u2E80"
-_INDEX_TOKEN = r"\p{IsHan}+|[a-z0-9]+(?:['-][a-z0-9]+)*"
-_QUERY_TOKEN = r"\p{IsHan}+|[a-z0-9]+"
+# One Han character; the range spares other text the script lookup.
+HAN = r"[\u2E80-\x{323AF}&&\p{IsHan}]"
+_INDEX_TOKEN = rf"[a-z0-9]+(?:['-][a-z0-9]+)*|{HAN}+"
+_QUERY_TOKEN = rf"[a-z0-9]+|{HAN}+"
 
 
 @F.pandas_udf(T.StringType())
@@ -51,7 +52,8 @@ def _compatibility_form(values: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Compatibility normal form; stable values bypass Python as nulls."""
-    unstable = c.rlike(f"[^{STABLE}]")
+    # The range comes first: it settles ASCII with one comparison per character.
+    unstable = c.rlike(rf"[\u0080-\x{{10FFFF}}&&[^{STABLE}]]")
     return F.coalesce(_compatibility_form(F.when(unstable, c)), c)
 
 
@@ -78,8 +80,8 @@ def normalize_phrase(c: Column) -> Column:
 
 
 def normalize_query_folded(folded: Column) -> Column:
-    text = F.regexp_replace(folded, r"([a-z0-9])(\p{IsHan})", "$1 $2")
-    text = F.regexp_replace(text, r"(\p{IsHan})([a-z0-9])", "$1 $2")
+    text = F.regexp_replace(folded, rf"([a-z0-9])({HAN})", "$1 $2")
+    text = F.regexp_replace(text, rf"({HAN})([a-z0-9])", "$1 $2")
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -120,7 +122,7 @@ def _tokens(text: Column, pattern: str, keep_single_han: bool) -> Column:
 
     # Text without Han skips the per-token expansion altogether.
     return F.array_distinct(
-        F.when(text.rlike(r"\p{IsHan}"), F.flatten(F.transform(found, expand))).otherwise(found)
+        F.when(text.rlike(HAN), F.flatten(F.transform(found, expand))).otherwise(found)
     )
 
 

@@ -11,6 +11,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+# Text tables and the key that spreads their rows.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 class Tables:
     """The given tables below one directory."""
 
@@ -18,7 +22,19 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = TEXT_KEYS.get(name)
+        return balanced(table, key) if key else table
+
+
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that is stored in fewer pieces than there are task slots.
+
+    A small file is often one row group and would be processed by one task. Tables
+    of cluster size have more pieces than slots and are left as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() <= slots else df
 
 
 def query(sql: str | None = None):

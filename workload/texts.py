@@ -22,7 +22,7 @@ SALT = "a fixed demonstration salt of more than 32 bytes"
 
 
 def _digest(c):
-    return F.sha2(F.array_join(F.array_sort(c), " "), 256)
+    return F.sha2(F.array_join(F.sort_array(c), " "), 256)
 
 
 def _sql_digest(c):
