@@ -268,13 +268,15 @@ UNION ALL SELECT 'differs' FROM documents WHERE doc_id % 97 <> 0 AND doc_id % 71
 UNION ALL SELECT 'unexpected_chunk' FROM documents WHERE doc_id % 89 = 3) WHERE rule IS NOT NULL GROUP BY rule""")
 def verify_index(t):
     """A stored index with removed, added, retitled and unpublishable rows."""
-    expected = world.document_chunks(t).withColumn("terms", F.array(F.lit("t")))
+    expected = common.materialized(
+        world.document_chunks(t).withColumn("terms", F.array(F.lit("t"))), "expected")
     doc = (F.col("page") - 1) * 20 + F.substring(F.col("source_id"), F.lit(4), F.lit(9)).cast("int")
     stored = expected.filter(doc % 97 != 0).withColumns({
         "title": F.when(doc % 50 == 1, "other").otherwise(F.col("title")),
         "provenance": F.when(doc % 71 == 0, "candidate_contribution").otherwise(F.col("provenance"))})
     added = expected.filter(doc % 89 == 3).withColumn("id", F.concat("id", F.lit("x")))
-    return _counts(verify.verify_index(stored.unionByName(added), expected))
+    stored = common.materialized(stored.unionByName(added), "stored")
+    return _counts(verify.verify_index(stored, expected))
 
 
 @query(f"""WITH RECURSIVE {SQL_CHUNKED}, c AS (SELECT source_id, count(*) AS chunks FROM chunks_ GROUP BY 1)
