@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.config import AdmissionPolicy
@@ -190,6 +189,21 @@ def _verdict(policy: AdmissionPolicy) -> tuple[Column, Column, Column, Column]:
     return before, recent, admitted, verdict
 
 
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """Add ``_copy``: 1 for the first of equal requests, 2 for every other one.
+
+    Groups of equal requests are only ever counted. Where some exist, rows get a
+    stored number and meet the smallest one of their group by that number.
+    """
+    keys = ["visitor_key", "now_ms", "request_id"]
+    if rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return rows.withColumn("_copy", F.lit(1))
+    numbered = materialized(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    first = numbered.groupBy(*keys).agg(F.min("_row").alias("_row")).select("_row", F.lit(1).alias("_first"))
+    return numbered.join(first, "_row", "left").withColumn(
+        "_copy", F.coalesce("_first", F.lit(2))).drop("_row", "_first")
+
+
 def admit_requests(requests: DataFrame, policy: AdmissionPolicy = AdmissionPolicy(),
                    prior: DataFrame | None = None, charges: DataFrame | None = None) -> DataFrame:
     """Add ``allowed``, ``reason`` and ``reset_at`` to ``visitor_key, now_ms,
@@ -206,9 +220,7 @@ def admit_requests(requests: DataFrame, policy: AdmissionPolicy = AdmissionPolic
     units = requests.select("visitor_key", day_number(F.col("now_ms")).alias("day")).distinct()
     complete = units.join(per_unit, _UNIT, "left").withColumn("charges", F.coalesce(
         "charges", F.array().cast("array<struct<now_ms:bigint,request_id:string>>")))
-    copies = Window.partitionBy("visitor_key", "now_ms", "request_id").orderBy("request_id")
-    rows = requests.withColumn("day", day_number(F.col("now_ms"))).withColumn(
-        "_copy", F.row_number().over(copies))
+    rows = _with_copies(requests.withColumn("day", day_number(F.col("now_ms"))))
     joined = salted_join(rows, complete, _UNIT, F.col("request_id"))
     before, recent, admitted, verdict = _verdict(policy)
     labelled = (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.config import AdmissionPolicy
@@ -33,15 +32,20 @@ def _turn_code(i, role, content):
 # -------------------------------------------------------------------- requests
 def _requests(t):
     """Every turn as a request whose history is the two turns before it."""
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    earlier = lambda n: F.when(
-        F.lag("role", n).over(before).isNotNull(),
-        F.struct(F.lag("role", n).over(before).alias("role"), F.lag("text", n).over(before).alias("content")))
-    return t.conversations.select(
+    turns = t.conversations
+
+    def earlier(n):
+        """The turn ``n`` places before, by an equi-join on (conversation, turn)."""
+        return turns.select(
+            "conv_id", (F.col("turn") + n).alias("turn"),
+            F.struct("role", F.col("text").alias("content")).alias(f"back{n}"))
+
+    joined = turns.join(earlier(2), ["conv_id", "turn"], "left").join(earlier(1), ["conv_id", "turn"], "left")
+    return joined.select(
         "conv_id", "turn", F.when(F.col("conv_id") % 19 == 0, F.lit(" \u200b ")).otherwise(F.col("text")).alias("message"),
         F.when(F.col("conv_id") % 7 == 0, "short").otherwise(
             F.format_string("session-%d", "conv_id")).alias("session_id"),
-        F.array_compact(F.array(earlier(2), earlier(1))).alias("history"),
+        F.array_compact(F.array("back2", "back1")).alias("history"),
         F.when(F.col("turn") % 5 == 4, "xx-1").otherwise("en-US").alias("locale"))
 
 
