@@ -1,4 +1,6 @@
 """Registers the queries of all operators of this package."""
 
-from evidentia.llm import license_scan, quality_rules, url_filters  # noqa: F401
+from evidentia.llm import (  # noqa: F401
+    benchmark_decontamination, license_scan, quality_rules, url_filters,
+)
 from evidentia.llm.common import QUERIES, SQL  # noqa: F401
