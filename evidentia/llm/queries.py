@@ -1,6 +1,6 @@
 """Registers the queries of all operators of this package."""
 
 from evidentia.llm import (  # noqa: F401
-    benchmark_decontamination, license_scan, quality_rules, secret_scan, url_filters,
+    benchmark_decontamination, license_scan, packing, quality_rules, secret_scan, url_filters,
 )
 from evidentia.llm.common import QUERIES, SQL  # noqa: F401
