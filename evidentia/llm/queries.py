@@ -1,6 +1,6 @@
 """Registers the queries of all operators of this package."""
 
 from evidentia.llm import (  # noqa: F401
-    benchmark_decontamination, license_scan, packing, quality_rules, secret_scan, url_filters, warc_index,
+    benchmark_decontamination, license_scan, packing, quality_rules, secret_scan, toxicity, url_filters, warc_index,
 )
 from evidentia.llm.common import QUERIES, SQL  # noqa: F401
