@@ -141,6 +141,16 @@ def judge(df: DataFrame, text: str = "text", thresholds: list[Threshold] = THRES
     return measures(df, text, out).withColumn(verdict, failed_rules(thresholds, out))
 
 
+def passing(df: DataFrame, text: str = "text", thresholds: list[Threshold] = THRESHOLDS) -> DataFrame:
+    """Rows that break no rule, with their own columns.
+
+    A plain filter on the verdict would be pushed below the projections and repeat their work for each mention;
+    a row number, which the optimizer must leave where it is, keeps the filter above them.
+    """
+    judged = judge(df, text, thresholds, "__measures", "__failed").withColumn("__row", F.monotonically_increasing_id())
+    return judged.filter((F.col("__row") >= 0) & (F.size("__failed") == 0)).select(*df.columns)
+
+
 @query("op9_quality_rules", sql=r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
