@@ -36,6 +36,7 @@ FEATURES = 1 << 17
 THRESHOLD = 0.5
 EPOCHS = 60
 PENALTY = 1e-4
+DEVIATIONS = 6.0  # a word is used if its share in the positive class is so many standard deviations off
 
 
 def with_features(docs: DataFrame, text: str = "text", features: int = FEATURES) -> DataFrame:
@@ -79,10 +80,19 @@ class LinearModel:
 
 
 def fit_linear(rows: Rows, y: np.ndarray, features: int = FEATURES, epochs: int = EPOCHS, penalty: float = PENALTY) -> LinearModel:
-    """Logistic regression with equal total weight for both classes, by full-batch Adam steps."""
+    """Logistic regression with equal total weight for both classes, by full-batch Adam steps.
+
+    Only words whose presence depends clearly on the class get a weight; rare words would fit single rows.
+    """
     n, k = len(y), rows.earlier.shape[1]
     if n == 0 or y.all() or not y.any():
         return LinearModel(np.zeros(features), np.zeros(k), 50.0 if n and y.all() else -50.0)
+    lengths = np.diff(rows.ends, prepend=0)
+    share, seen = y.mean(), np.bincount(rows.words, minlength=features)
+    positive = np.bincount(rows.words, np.repeat(y, lengths).astype(float), features)
+    used = np.abs(positive - share * seen) >= DEVIATIONS * np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    kept = used[rows.words]
+    rows = Rows(rows.words[kept], np.append(0, np.cumsum(kept))[rows.ends], rows.earlier)
     weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
     of_row = np.repeat(np.arange(n), np.diff(rows.ends, prepend=0))
     w = np.zeros(features + k + 1)
