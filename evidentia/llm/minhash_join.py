@@ -13,7 +13,9 @@ Connected components of all links are found by rounds of large and small stars.
 
 Scale: equal sets collapse first, so copies cost one row. Minima, postings and trees are linear in the
 documents; groups are cut into blocks of bounded size, compared block by block when there are several.
-Texts move compressed and only for documents in groups. Work on members among each other is a comparison
+Texts move compressed, and
+those outside all groups are left out by a Bloom filter of at most 16 MB (beyond some 100 million grouped
+documents it lets more texts through, which the join then drops). Work on members among each other is a comparison
 with the block for each member that the bounds leave open; a group whose members are mutually close but far
 from their leader is the costly case, and it is quadratic in blocks. Minima miss a link with a probability
 of about one in a million (five standard deviations at the similarity limit).
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     sets = materialized(sets, "sets")
     groups = materialized(merge_lists(postings(sets.filter("node is not null"), match_threshold(percent))), "groups")
     used = groups.select("hub").union(groups.select("node")).toDF("node").distinct()
-    texts = _packed(docs.select(F.col(id_column).cast("long").alias("node"), text_or_empty(docs, text).alias("text"))).join(used, "node", "left_semi")
+    texts = _packed(docs.select(F.col(id_column).cast("long").alias("node"), text_or_empty(docs, text).alias("text")), used)
     links = verify_groups(groups, sets, texts, size, percent)
     named = sets.select("h1", "h2", "node").join(components(links), "node", "left").select(
         "h1", "h2", F.coalesce("component", "node").alias("component"))
@@ -307,14 +309,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
         "doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
 
-def _packed(texts: DataFrame) -> DataFrame:
+MOST_BITS = 1 << 27
+
+
+def _places(node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = _mix(node.astype(np.uint64))
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes, 16 MB at most: 64-bit words, folded on the cluster before they are collected."""
+    bits = min(MOST_BITS, 1 << max(16, (16 * nodes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(batch.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    words = nodes.mapInArrow(run, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _packed(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """Compressed texts of the used nodes: most others are left out before the shuffle, the rest by the join."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(used))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack, words = zstandard.ZstdCompressor(level=3), shared.value
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            held = np.ones(batch.num_rows, bool)
+            for at in _places(batch.column(0).to_numpy(), 64 * len(words)):
+                held &= (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) == 1
+            batch = batch.filter(pa.array(held))
             bodies = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["node", "body"])
 
-    return texts.mapInArrow(run, "node bigint, body binary")
+    return texts.mapInArrow(run, "node bigint, body binary").join(used, "node", "left_semi")
 
 
 @query("op4_minhash_dedup")
