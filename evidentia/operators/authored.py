@@ -133,13 +133,13 @@ def claim_chunks(tables: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
 def intent_aliases(glossary: DataFrame) -> DataFrame:
     """(intent, ord, alias): terms per intent, the first of equal keys wins.
 
-    ``ord`` sorts like the glossary; it is not dense, so no intent is ranked in
-    one task.
+    ``ord`` is (entry, term), which sorts like the glossary, so no intent is ranked
+    in one task.
     """
     terms = F.concat(F.array("canonical"), "aliases")
     rows = glossary.select("entry", "intents", F.posexplode(terms).alias("term_ord", "term")).select(
         F.explode("intents").alias("intent"),
-        (F.col("entry").cast("bigint") * 1_000_000 + F.col("term_ord")).alias("ord"),
+        F.struct("entry", F.col("term_ord").alias("term")).alias("ord"),
         text.js_trim(text.nfkc(F.col("term"))).alias("alias"))
     return rows.groupBy("intent", F.lower("alias").alias("key")).agg(
         F.min(F.struct("ord", "alias")).alias("first")

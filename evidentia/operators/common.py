@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -16,17 +15,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Only a session without that setting, such as a test, gets a temporary one.
-    """
+    """The folder the cluster names in spark.checkpoint.dir, else one in the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_evidentia_folder", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="evidentia-")
-            spark._evidentia_folder = folder
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -232,12 +232,14 @@ def extract_citations(c: Column, allowed: Column) -> Column:
 
 
 def resolve_citations(answers: DataFrame, packet: DataFrame) -> DataFrame:
-    """Cited packet rows in citation order; without any, the first two rows."""
+    """Cited packet rows in citation order; if none of the cited ids is in the packet, the first two rows."""
     fallback = F.array(F.lit("S1"), F.lit("S2"))
-    cited = answers.select(
+    held = packet.groupBy("query_id").agg(F.collect_set("id").alias("held"))  # bounded by the result limit
+    known = answers.join(held, "query_id").withColumn(
+        "known", F.filter("source_ids", lambda i: F.array_contains("held", i)))
+    cited = known.select(
         "resp_id", "query_id",
-        F.posexplode(F.when(F.size("source_ids") > 0, F.col("source_ids")).otherwise(fallback))
-        .alias("ord", "id"))
+        F.posexplode(F.when(F.size("known") > 0, F.col("known")).otherwise(fallback)).alias("ord", "id"))
     return cited.join(packet, ["query_id", "id"])
 
 

@@ -41,20 +41,15 @@ def _field_values(lines: Column, name: str) -> Column:
         F.substring(l, F.lit(len(name) + 2), F.char_length(l)), "^ ", ""))
 
 
-_END = "\u0004"
-
-
 def event_blocks(bodies: DataFrame) -> DataFrame:
     """(resp_id, seq, block, terminated) of every non-empty block.
 
-    An end mark travels with the unterminated tail, so each block knows its own
-    state and the body is split only once.
+    Only the last piece of a split body has no end of its own.
     """
-    blocks = F.split(F.concat(_unix_lines(F.col("body")), F.lit(_END)), "\n\n", -1)
-    placed = bodies.select("resp_id", F.posexplode(blocks).alias("seq", "raw"))
+    split = bodies.select("resp_id", F.split(_unix_lines(F.col("body")), "\n\n", -1).alias("blocks"))
+    placed = split.select("resp_id", F.size("blocks").alias("n"), F.posexplode("blocks").alias("seq", "block"))
     return placed.select(
-        "resp_id", "seq", F.regexp_replace("raw", _END + "$", "").alias("block"),
-        (~F.col("raw").endswith(_END)).alias("terminated"),
+        "resp_id", "seq", "block", (F.col("seq") < F.col("n") - 1).alias("terminated"),
     ).filter((F.col("block") != "") & (F.col("terminated") | F.col("block").rlike(f"[^{text.SPACE}]")))
 
 
@@ -106,6 +101,15 @@ def _invalid_source(raw: Column) -> Column:
     return ~F.coalesce(valid, F.lit(False))
 
 
+# How a whole number can be written: 5, 5.0 and 1e2 are all safe integers.
+_NUMBER = r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+
+
+def _safe_integer(raw: Column) -> Column:
+    value = raw.try_cast("double")
+    return F.coalesce((value == F.floor(value)) & value.between(0, _SAFE_INTEGER), F.lit(False))
+
+
 def check_events(events: DataFrame) -> DataFrame:
     """Findings over parsed events: exact keys, types, sizes, ids, links, codes."""
     data, kind = F.col("data"), F.col("type")
@@ -113,8 +117,7 @@ def check_events(events: DataFrame) -> DataFrame:
     value = lambda path: F.get_json_object("data", path)
     raw_sources = F.from_json("data", "struct<sources:array<string>>")["sources"]
     ids = F.transform(raw_sources, lambda r: F.get_json_object(r, "$.id"))
-    tokens = lambda name: F.coalesce(
-        F.get_json_object("data", f"$.{name}").cast("decimal(38,0)").between(0, _SAFE_INTEGER), F.lit(True))
+    tokens = lambda name: F.get_json_object("data", f"$.{name}").isNull() | _safe_integer(F.get_json_object("data", f"$.{name}"))
     rules = {
         "unparsed": F.col("error").isNotNull() if "error" in events.columns else F.lit(False),
         "unknown_type": ~F.coalesce(kind.isin("start", "delta", "sources", "done", "error"), F.lit(False)),
@@ -126,7 +129,7 @@ def check_events(events: DataFrame) -> DataFrame:
             ~shape.rlike("^OBJECT<sources: ARRAY<.*>>$") | (F.size(raw_sources) > MAX_SOURCES)
             | (F.size(F.array_distinct(ids)) != F.size(ids)) | F.exists(raw_sources, _invalid_source)),
         "done": (kind == "done") & (
-            ~shape.rlike("^OBJECT<(inputTokens: BIGINT)?(, )?(outputTokens: BIGINT)?>$")
+            ~shape.rlike(f"^OBJECT<(inputTokens: {_NUMBER})?(, )?(outputTokens: {_NUMBER})?>$")
             | ~tokens("inputTokens") | ~tokens("outputTokens")),
         "error": (kind == "error") & (
             (shape != "OBJECT<code: STRING, message: STRING, retryable: BOOLEAN>")
@@ -220,25 +223,24 @@ def parse_completion_streams(bodies: DataFrame) -> DataFrame:
         content = F.get_json_object(d, "$.choices[0].delta.content")
         usage = F.get_json_object(d, "$.usage")
         count = lambda name: F.get_json_object(d, f"$.usage.{name}")
-        whole = lambda c: c.rlike("^[0-9]{1,16}$")
-        first = F.get_json_object(d, "$.choices[0]")
-        has_choices = F.get_json_object(d, "$.choices").isNotNull()
-        bad_choice = has_choices & (
-            ~F.coalesce(F.get_json_object(d, "$.choices").startswith("["), F.lit(False))
-            | (first.isNotNull() & ~F.coalesce(
-                F.get_json_object(d, "$.choices[0].delta").startswith("{"), F.lit(False))))
+        # The JSON type at a path, VOID for a null and empty where there is nothing.
+        kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(d), path, "variant")), F.lit(""))
+        number = lambda name: kind(f"$.usage.{name}").rlike(f"^{_NUMBER}$") & _safe_integer(count(name))
+        bad_choice = (kind("$.choices") != "") & (
+            ~kind("$.choices").startswith("ARRAY")
+            | ((kind("$.choices[0]") != "") & ~kind("$.choices[0].delta").startswith("OBJECT"))
+            | ~kind("$.choices[0].delta.content").isin("", "VOID", "STRING"))
         bad_usage = usage.isNotNull() & (
-            ~F.coalesce(whole(count("prompt_tokens")), F.lit(False))
-            | ~F.coalesce(whole(count("completion_tokens")), F.lit(False))
-            | (count("prompt_cache_hit_tokens").isNotNull() & ~whole(count("prompt_cache_hit_tokens"))))
+            ~number("prompt_tokens") | ~number("completion_tokens")
+            | ((kind("$.usage.prompt_cache_hit_tokens") != "") & ~number("prompt_cache_hit_tokens")))
         bad = shape.isNull() | ~shape.startswith("OBJECT") | bad_choice | bad_usage
         return F.struct(
             F.coalesce(bad, F.lit(True)).alias("bad"),
             F.when(content != "", content).alias("text"),
             F.when(usage.isNotNull() & ~bad_usage, F.struct(
-                count("prompt_tokens").cast("bigint").alias("i"),
-                count("completion_tokens").cast("bigint").alias("o"),
-                count("prompt_cache_hit_tokens").cast("bigint").alias("c"))).alias("usage"))
+                count("prompt_tokens").cast("double").cast("bigint").alias("i"),
+                count("completion_tokens").cast("double").cast("bigint").alias("o"),
+                count("prompt_cache_hit_tokens").cast("double").cast("bigint").alias("c"))).alias("usage"))
 
     described = rows.select("resp_id", "done_at", F.transform(live, describe).alias("e"))
     described = described.withColumn("usage", F.try_element_at(

@@ -78,12 +78,15 @@ def verify_index(stored: DataFrame, expected: DataFrame) -> DataFrame:
     whose digests differ are compared column by column.
     """
     def digests(df: DataFrame, name: str) -> DataFrame:
-        return df.select("id", F.sha2(F.to_json(F.struct(*_COMPARED)), 256).alias(name))
+        # Rows of a repeated id fold to one; the repetition is reported by itself.
+        digest = F.sha2(F.to_json(F.struct(*_COMPARED)), 256)
+        return df.select("id", digest.alias(name)).groupBy("id").agg(F.min(name).alias(name))
 
     joined = digests(stored, "have").join(digests(expected, "want"), "id", "full")
     unequal = joined.filter("have <> want").select("id")
     sides = [
-        df.join(unequal, "id", "left_semi").select("id", F.struct(*_COMPARED).alias(name))
+        df.join(unequal, "id", "left_semi").groupBy("id").agg(F.min_by(
+            F.struct(*_COMPARED), F.sha2(F.to_json(F.struct(*_COMPARED)), 256)).alias(name))
         for df, name in ((stored, "a"), (expected, "b"))]
     differing = F.array_compact(F.array(*[
         F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in _COMPARED]))

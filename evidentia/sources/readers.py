@@ -48,10 +48,11 @@ def read_dossiers(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def read_glossary(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Glossary entries with their position in the document."""
+    """Glossary entries; ``entry`` is the file, the document in it and the position, so documents stay apart."""
     rows = spark.read.schema(GLOSSARY).option("multiLine", multi_line).json(path)
-    return rows.select("version", F.posexplode("entries").alias("entry", "e")).select(
-        "version", "entry", "e.canonical", "e.aliases", "e.intents"
+    placed = rows.select("version", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), "entries")
+    return placed.select("version", "file", "row", F.posexplode("entries").alias("at", "e")).select(
+        "version", F.struct("file", "row", "at").alias("entry"), "e.canonical", "e.aliases", "e.intents"
     )
 
 

@@ -132,3 +132,14 @@ def test_built_index_verifies_itself(spark):
     assert verify.verify_index(built["index"], built["index"]).isEmpty()
     damaged = built["index"].withColumn("title", F.lit("x"))
     assert {(r["rule"], r["detail"]) for r in verify.verify_index(damaged, built["index"]).collect()} >= {("differs", "title")}
+
+
+def test_glossary_documents_stay_apart(spark, tmp_path):
+    from evidentia.sources import readers
+
+    for name, term in (("a", "Form"), ("b", "Value")):
+        (tmp_path / f"{name}.json").write_text('{"version": 1, "entries": [{"canonical": "%s", "aliases": ["%s x"], "intents": ["form"]}]}' % (term, term))
+    read = readers.read_glossary(spark, str(tmp_path))
+    assert read.select("entry").distinct().count() == 2
+    assert authored.check_glossary(read).count() == 0
+    assert authored.intent_aliases(read).select("ord").distinct().count() == 4

@@ -89,3 +89,36 @@ def test_long_histories_are_ranked_in_blocks(spark, monkeypatch):
     assert dialogue.check_history(conversation(spark, rows)).first()["error_code"] is None
     rows[23] = (1, 23, "user", "x")
     assert dialogue.check_history(conversation(spark, rows)).first()["error_code"] == "invalid_history"
+
+
+def test_blocks_keep_control_characters_and_know_their_end(spark):
+    frame = spark.createDataFrame([("a", "event: x\ndata: 1\u0004\n\n"), ("b", "event: x\ndata: 1\u0004")], "resp_id string, body string")
+    found = {r["resp_id"]: (r["block"][-1], r["terminated"]) for r in eventlog.event_blocks(frame).collect()}
+    assert found == {"a": ("\u0004", True), "b": ("\u0004", False)}
+
+
+def test_token_counts_may_be_written_as_any_whole_number(spark):
+    values = {"5": True, "5.0": True, "1e2": True, "9007199254740991": True, "5.5": False, "-1": False, '"5"': False, "9007199254740992": False}
+    rows = [(v, 0, "done", f'{{"inputTokens": {v}}}') for v in values]
+    frame = spark.createDataFrame(rows, "resp_id string, seq int, type string, data string")
+    bad = eventlog.check_events(frame).collect()
+    assert len(bad) == sum(not good for good in values.values())
+    assert all(any(str(v) in r["key"] for v, good in values.items() if not good) for r in bad)
+
+
+def test_completion_chunks_of_wrong_types_are_malformed(spark):
+    usage = '{"choices": [], "usage": {"prompt_tokens": %s, "completion_tokens": 1}}'
+    cases = {'{"choices": [{"delta": {"content": 5}}]}': 0, '{"choices": null}': 0, usage % '"5"': 0, usage % "9999999999999999": 0,
+             '{"choices": [null]}': 0, '{"choices": [{"delta": {"content": null}}]}': 1, '{"choices": []}': 1, usage % "5.0": 1, "{}": 1,
+             '{"choices": [{"delta": {"content": "x"}}]}': 1}
+    frame = spark.createDataFrame([(c, f"data: {c}\n\ndata: [DONE]\n\n") for c in cases], "resp_id string, body string")
+    bad = {r["resp_id"] for r in eventlog.parse_completion_streams(frame).filter("error = 'malformed_response'").collect()}
+    assert bad == {c for c, good in cases.items() if not good}
+
+
+def test_citations_outside_the_packet_fall_back(spark):
+    packet = spark.createDataFrame([(1, "S1"), (1, "S2"), (2, "S1")], "query_id int, id string")
+    answers = spark.createDataFrame([("a", 1, ["S3", "S2"]), ("b", 1, ["S7"]), ("c", 2, []), ("d", 9, ["S1"])],
+                                    "resp_id string, query_id int, source_ids array<string>")
+    rows = sorted((r["resp_id"], r["id"]) for r in dialogue.resolve_citations(answers, packet).collect())
+    assert rows == [("a", "S2"), ("b", "S1"), ("b", "S2"), ("c", "S1")]

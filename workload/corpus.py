@@ -420,7 +420,8 @@ def claim_chunks(t):
 UNION ALL SELECT unnest(intents), entry * 1000000 + 1, aliases[1] FROM glossary_ UNION ALL SELECT unnest(intents), entry * 1000000 + 2, aliases[2] FROM glossary_)
 SELECT intent, min(ord) AS ord, arg_min(alias, ord) AS alias FROM rows_ GROUP BY intent, lower(alias)""")
 def intent_aliases(t):
-    return authored.intent_aliases(_glossary(t))
+    found = authored.intent_aliases(_glossary(t))
+    return found.select("intent", (F.col("ord.entry").cast("bigint") * 1_000_000 + F.col("ord.term")).alias("ord"), "alias")
 
 
 @query(f"""WITH {SQL_GLOSSARY}, o AS (SELECT entry, lower(canonical) || intents[1] AS owner, lower(aliases[1]) AS a, lower(canonical) AS c FROM glossary_),
