@@ -8,6 +8,7 @@ project_id, page_count, structured_text, visual_pages, ordinal)``,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,20 +151,22 @@ def chunk_windows(normalized: Column, config: ChunkingConfig = ChunkingConfig())
     def windows(page: str | None) -> list[dict] | None:
         if page is None:
             return None
-        found, start = [], 0
-        while start < len(page):
-            end = min(start + size, len(page))
-            if end < len(page):
-                floor = start + overlap
-                while end > floor and (page[end - 1] == " " or (overlap and page[end - overlap] == " ")):
-                    end -= 1
-                if end <= floor:
+        # Places where a window may end: no space before, and none where the next window would start.
+        space = np.array([c == " " for c in page] + [False])
+        ends = np.arange(overlap + 1, len(page))
+        ends = ends[~space[ends - 1] & ~(space[ends - overlap] & (overlap > 0))]
+        starts = [0] if page else []
+        stops: list[int] = []
+        while len(stops) < len(starts):
+            stop = len(page)
+            if stop - starts[-1] > size:
+                best = np.searchsorted(ends, starts[-1] + size, side="right") - 1
+                if best < 0 or ends[best] <= starts[-1] + overlap:
                     return None
-            found.append({"chunk_index": len(found), "start": start, "text": page[start:end]})
-            if end == len(page):
-                break
-            start = end - overlap
-        return found
+                stop = int(ends[best])
+                starts.append(stop - overlap)
+            stops.append(stop)
+        return [{"chunk_index": n, "start": a, "text": page[a:b]} for n, (a, b) in enumerate(zip(starts, stops))]
 
     @F.pandas_udf(_WINDOWS)
     def split(values: pd.Series) -> pd.Series:

@@ -171,23 +171,23 @@ class Corpus:
             p = c["evidence_pages"][0] if c["evidence_pages"] else c["page"]
             return None if p is None else (c["source_id"], p)
 
-        if projects and (not intents or intents == ["overview"]):
-            pinned = [r for r in rows if r[0]["knowledge_kind"] == "authored-claim"
-                      and r[0]["page_role"] == "overview"]
-            out += pinned[:1]
-        tight = min(2, per) if "comparison" in intents else per
-        big = 10 ** 9
-        for s, n, fresh in [(tight, 1, 1), (tight, 2, 0), (per, 2, 1), (per, 2, 0), (per, big, 1), (per, big, 0)]:
-            for c, score in rows:
-                if len(out) >= limit:
-                    break
-                used = [o[0] for o in out]
-                if c in used or sum(u["source_id"] == c["source_id"] for u in used) >= s:
-                    continue
-                i = intent(c)
-                if i is not None and sum(intent(u) == i for u in used) >= n:
-                    continue
-                if fresh and page(c) is not None and page(c) in [page(u) for u in used]:
-                    continue
-                out.append((c, score))
+        def fits(c, sources, same_intent, new_page):
+            chosen = [o[0] for o in out]
+            near = [u for u in chosen if u["source_id"] == c["source_id"]]
+            alike = [u for u in chosen if intent(c) is not None and intent(u) == intent(c)]
+            seen = page(c) is not None and any(page(u) == page(c) for u in chosen)
+            return len(near) < sources and len(alike) < same_intent and not (new_page and seen)
+
+        overview_only = bool(projects) and set(intents) <= {"overview"}
+        if overview_only:
+            out += [r for r in rows if r[0]["knowledge_kind"] == "authored-claim" and r[0]["page_role"] == "overview"][:1]
+        start = per if "comparison" not in intents else min(2, per)
+        any_number = len(rows) + 1
+        relaxing = [(start, 1, True), (start, 2, False), (per, 2, True), (per, 2, False), (per, any_number, True), (per, any_number, False)]
+        while relaxing and len(out) < limit:
+            rest = [r for r in rows if r not in out and fits(r[0], *relaxing[0])]
+            if rest:
+                out.append(rest[0])
+            else:
+                relaxing.pop(0)
         return [(c["id"], c["source_id"], score) for c, score in out[:limit]]
