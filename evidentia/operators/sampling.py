@@ -13,15 +13,15 @@ from evidentia.operators.common import positions
 BAND_SHARES = {"micro": 0.65, "medium": 0.25, "large": 0.08, "splash": 0.02}
 STRONG_CORE = 0.18
 STRONG_FACE = 0.14
-MAX_ROWS = 50_000
 
-_UNIFORM_BITS = 53
-_BLOCK_BITS = 41
+_UNIFORM_BITS = 52  # 13 hexadecimal digits
+_BLOCK_BITS = 40
 
 
 def order_key(key: Column, seed: int) -> Column:
-    """Seeded pseudo-random integer below 2^53, a function of the row key alone."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 64 - _UNIFORM_BITS)
+    """Seeded pseudo-random integer below 2^52, a function of the row key alone; any engine with SHA-256 can repeat it."""
+    digest = F.sha2(F.concat_ws(":", key.cast("string"), F.lit(str(seed))), 256)
+    return F.conv(F.substring(digest, 1, _UNIFORM_BITS // 4), 16, 10).cast("bigint")
 
 
 def uniform(key: Column, seed: int) -> Column:

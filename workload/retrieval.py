@@ -330,7 +330,8 @@ def evaluate(t):
 
 
 # -------------------------------------------------------------------- sampling
-@query()
+@query("""SELECT doc_id, lang, n_chars FROM documents WHERE n_chars >= 200
+AND ('0x' || substr(sha256(doc_id::VARCHAR || ':7'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE <= least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE)""")
 def acceptance_sample(t):
     return sampling.acceptance_sample(
         t.documents.select("doc_id", "lang", "n_chars"), F.col("doc_id"), F.least(F.lit(1.0), F.col("n_chars") / 4000), 7,
