@@ -189,12 +189,22 @@ _SQL_RULES = {
 _SQL_ANY = " OR ".join(f"len({r}) > 0" for r in _SQL_RULES.values())
 
 
-def _rule_sql(name):
-    return f"SELECT doc_id, unnest({_SQL_RULES[name]}) AS value FROM documents"
+# Documents hold no mobile, labelled or QQ numbers and no addresses of their own: each gets a contact line by its id.
+_CONTACTS = """text || chr(10) || CASE doc_id % 5
+WHEN 0 THEN 'call 13' || lpad(CAST(doc_id * 7919 % 1000000000 AS STRING), 9, '0')
+WHEN 1 THEN 'phone: ' || CAST(5550000 + doc_id AS STRING)
+WHEN 2 THEN 'Home address: ' || CAST(doc_id AS STRING) || ' Willow Lane'
+WHEN 3 THEN 'QQ: ' || CAST(10000 + doc_id AS STRING) ELSE 'no contact here' END"""
 
 
-def _rule(t, hits):
-    return t.documents.select("doc_id", F.explode(hits(text.nfkc(F.col("text")))).alias("value"))
+def _rule_sql(name, contacts=False):
+    table = f"(SELECT doc_id, {_CONTACTS} AS text FROM documents)" if contacts else "documents"
+    return f"SELECT doc_id, unnest({_SQL_RULES[name]}) AS value FROM {table}"
+
+
+def _rule(t, hits, contacts=False):
+    body = F.expr(_CONTACTS) if contacts else F.col("text")
+    return t.documents.select("doc_id", F.explode(hits(text.nfkc(body))).alias("value"))
 
 
 @query(_rule_sql("email"))
@@ -202,9 +212,9 @@ def unapproved_emails(t):
     return _rule(t, privacy.unapproved_emails)
 
 
-@query(_rule_sql("mobile"))
+@query(_rule_sql("mobile", contacts=True))
 def mobile_hits(t):
-    return _rule(t, privacy.mobile_hits)
+    return _rule(t, privacy.mobile_hits, contacts=True)
 
 
 @query(_rule_sql("international"))
@@ -217,19 +227,19 @@ def local_phone_hits(t):
     return _rule(t, privacy.local_phone_hits)
 
 
-@query(_rule_sql("labelled_phone"))
+@query(_rule_sql("labelled_phone", contacts=True))
 def labelled_phone_hits(t):
-    return _rule(t, privacy.labelled_phone_hits)
+    return _rule(t, privacy.labelled_phone_hits, contacts=True)
 
 
-@query(_rule_sql("address"))
+@query(_rule_sql("address", contacts=True))
 def address_hits(t):
-    return _rule(t, privacy.address_hits)
+    return _rule(t, privacy.address_hits, contacts=True)
 
 
-@query(_rule_sql("qq"))
+@query(_rule_sql("qq", contacts=True))
 def qq_hits(t):
-    return _rule(t, privacy.qq_hits)
+    return _rule(t, privacy.qq_hits, contacts=True)
 
 
 @query(" UNION ALL ".join(
