@@ -1,6 +1,7 @@
 """Operators in column functions: quality rules, license signatures, url filters."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -66,6 +67,95 @@ def test_license_signatures_and_containment(spark):
     assert len(license_scan.signatures()) > 200
 
 
+_OWN = "Copyright (c) 2001 Some Body. "
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so")
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_BSD = _OWN + ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+               "are met: 1. Redistributions of source code must retain the above copyright notice. 2. Redistributions in binary form must reproduce it "
+               "in the documentation and/or other materials provided with the distribution. ")
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software "
+        "Foundation{} version {} of the License, or (at your option) any later version.")
+_CASES = {
+    # one-word forms
+    "licensed under the GPLv3": ["gpl-3.0"], "Released under GPLv2+.": ["gpl-2.0"], "available under the AGPLv3 license": ["agpl-3.0"],
+    "covered by: License: LGPLv3": ["lgpl-3.0"], "distributed under LGPLv2.1": ["lgpl-2.1"], "provided under the LGPLv2": ["lgpl-2.1"],
+    "License: GPL3": ["gpl-3.0"], "License: GPL2": ["gpl-2.0"], "license: Apache2": ["apache-2.0"], "the MPLv2 license": ["mpl-2.0"], "License EPLv2": ["epl-2.0"],
+    "distributed under the GNU GPLv3": ["gpl-3.0"], "GPL-3.0 license": ["gpl-3.0"], "licensed under GPL v3": ["gpl-3.0"], "under GPL version 2 license": ["gpl-2.0"],
+    "licensed under the 3-clause BSD license": ["bsd-3-clause"], "License: 2-clause BSD": ["bsd-2-clause"],
+    "subject to the terms of the Mozilla Public License, v. 2.0": ["mpl-2.0"], "the MIT licence": ["mit"],
+    # standard headers
+    _GNU.format("GNU General Public License", "; either", "3"): ["gpl-3.0"], _GNU.format("GNU General Public License", "; either", "2"): ["gpl-2.0"],
+    _GNU.format("GNU General Public Licence", ", Inc.,", "2"): ["gpl-2.0"],
+    _GNU.format("GNU Lesser General Public License", "; either", "2.1"): ["lgpl-2.1"], _GNU.format("GNU Lesser General Public License", ", either", "3"): ["lgpl-3.0"],
+    _GNU.format("GNU Library General Public License", "; either", "2"): ["lgpl-2.0"], _GNU.format("GNU Affero General Public License", ", either", "3"): ["agpl-3.0"],
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not': ["apache-2", "apache-2.0"],
+    # names without a version
+    "licensed under the GNU General Public License": ["gpl"], "distributed under the GPL": ["gpl"], "the LGPL license": ["lgpl"],
+    "available under the GNU Affero General Public License.": ["agpl"], "under a BSD-style license": ["bsd"], "the Apache License": ["apache"],
+    "under the Mozilla Public License": ["mpl"], "the Eclipse Public License": ["epl"], "a Creative Commons license": ["cc"],
+    "the Artistic License": ["artistic"], "the SIL Open Font License": ["ofl-1.1"], "the European Union Public Licence": ["eupl"],
+    "the GNU Free Documentation License": ["gfdl"], "the Open Software License": ["osl"], "the Boost Software License": ["bsl-1.0"],
+    # bodies
+    _OWN + _MIT + ", subject to the following conditions:": ["mit"], _MIT + '. THE SOFTWARE IS PROVIDED "AS IS"': ["mit-0"],
+    _MIT.replace("deal in", "deal with"): ["ncsa"],
+    _ISC + ", provided that the above copyright notice": ["isc"], _ISC + '. THE SOFTWARE IS PROVIDED "AS IS"': ["0bsd"],
+    _BSD + _AS_IS: ["bsd", "bsd-2-clause"],
+    _BSD + "3. Neither the name of the Some Body Company nor the names of its contributors may be used to endorse or promote products derived from it. "
+    + _AS_IS: ["bsd", "bsd-3-clause"],
+    "Apache License Version 2.0, January 2004": ["apache-2", "apache-2.0"],
+    "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, "
+    "royalty-free, irrevocable copyright license to": ["apache-2.0"],
+    "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.": ["artistic-2.0"],
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+    "covered by this license": ["bsl-1.0"],
+    "The person who associated a work with this deed has dedicated the work to the public domain": ["cc0-1.0"],
+    'The accompanying program is provided under the terms of this Eclipse Public License ("Agreement")': ["epl-2.0"],
+    "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": ["gpl-2.0"], "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["gpl-3.0"],
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": ["agpl-3.0"], "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": ["lgpl-2.1"],
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["lgpl-3.0"], "Mozilla Public License Version 2.0 1. Definitions": ["mpl-2.0"],
+    "This license governs use of the accompanying software. If you use the software, you accept this license.": ["ms-pl"],
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written "
+    "agreement is hereby granted": ["postgresql"],
+    "PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license": ["python-2.0"],
+    "This is free and unencumbered software released into the public domain.": ["unlicense"], "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE": ["wtfpl"],
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software.": ["zlib"],
+    # addresses
+    "https://opensource.org/licenses/MIT": ["mit"], "https://spdx.org/licenses/BSD-3-Clause.html": ["bsd-3-clause"],
+    "https://www.gnu.org/licenses/gpl-3.0.html": ["gpl-3.0"], "see http://www.gnu.org/licenses/old-licenses/gpl-2.0.txt": ["gpl-2.0"],
+    "http://www.gnu.org/licenses/gpl.html": ["gpl"], "http://www.apache.org/licenses/LICENSE-2.0": ["apache-2.0"],
+    "https://creativecommons.org/licenses/by/4.0/": ["cc-by"], "https://creativecommons.org/licenses/by-nc/4.0/": ["cc-by-nc"],
+    "https://creativecommons.org/licenses/by-nc-nd/4.0/": ["cc-by-nc-nd"], "https://creativecommons.org/licenses/by-nc-sa/3.0/": ["cc-by-nc-sa"],
+    "https://creativecommons.org/licenses/by-nd/4.0/": ["cc-by-nd"], "https://creativecommons.org/licenses/by-sa/4.0/": ["cc-by-sa"],
+    "https://creativecommons.org/publicdomain/zero/1.0/": ["cc0-1.0"], "https://www.boost.org/LICENSE_1_0.txt": ["bsl-1.0"],
+    "https://www.eclipse.org/legal/epl-v10.html": ["epl-1.0"], "https://www.eclipse.org/legal/epl-2.0/": ["epl-2.0"], "http://mozilla.org/MPL/2.0/.": ["mpl-2.0"],
+    "https://www.mozilla.org/en-US/MPL/2.0/": ["mpl-2.0"], "http://scripts.sil.org/OFL": ["ofl-1.1"], "<https://unlicense.org>": ["unlicense"], "http://www.wtfpl.net/": ["wtfpl"],
+    # not a license
+    "the general public was under the impression that mpl and epl are games": [], "neither the name of the town nor the promise was kept": [],
+}
+
+
+def test_license_texts_headers_names_and_addresses(spark):
+    df = spark.createDataFrame([(t,) for t in _CASES], "text string")
+    got = {r.text: r.license for r in license_scan.scan(df).collect()}
+    assert {t: v.labels for t, v in got.items()} == _CASES
+    assert all((v.score > 0) == bool(v.labels) for v in got.values())
+
+
+def test_license_bodies_have_their_own_sentence_and_gates():
+    """A gate word that a signature does not hold would keep it closed."""
+    for r in license_scan.signatures():
+        literal = {a for w in r.words for a in w.removesuffix("?").split("|")}
+        assert r.gates and set(r.gates) <= literal, r
+    words = [" " + " ".join("".join(c.lower() if c.isalnum() else " " for c in t).split()) + " " for t in _CASES]
+    for r in license_scan.signatures()[-len(license_scan.BODIES):]:
+        sentences = [" " + "".join(f" {i}={w}" for i, w in enumerate(t.split())) + " " for t in words]
+        assert any(re.search(r.regex(), t) for t in sentences), r
+
+
 def test_license_plan_has_no_python_and_no_shuffle(sample):
     plan = _plan(license_scan.scan(sample[1])) + _plan(quality_rules.judge(sample[1]))
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
