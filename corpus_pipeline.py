@@ -2,8 +2,7 @@
 
 STAGES holds (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
-Rows are matched with decisions by a hash of id and text, so null and repeated ids need no special case; near
-duplicates are named by id, and rows without one are only compared with each other as equal texts.
+Rows are matched with decisions by a hash of id and text, so null and repeated ids need no special case.
 """
 
 from __future__ import annotations
@@ -31,14 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    known = docs.filter("doc_id is not null")
-    groups = minhash_join.near_duplicates(known, size=5, percent=80)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = known.join(first, "doc_id", "left_semi").withColumn("__turn", F.row_number().over(one)).filter("__turn = 1")
-    nameless = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return kept.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    """One document of each group of near copies, the one with the smallest id, and one of its rows without an id."""
+    rows = minhash_join.near_duplicates(docs, size=5, percent=80)
+    # Rows with an empty set resemble nothing; only repeated rows of them go.
+    group = rows.groupBy(F.coalesce("component", "key").alias("c"), F.col("component").isNull().alias("e"), F.col("doc_id").isNull().alias("n"))
+    first = group.agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    one = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+    once = docs.withColumn("__key", minhash_join.row_key()).withColumn("__turn", F.row_number().over(one)).filter("__turn = 1")
+    return once.join(first, "__key", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

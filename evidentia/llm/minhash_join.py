@@ -22,8 +22,9 @@ of about one in a million (five standard deviations at the similarity limit).
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing;
 texts with fewer words than a shingle have one shingle; repeated rows are equal sets and so linked; rows with
-one id and different texts count as linked; null ids are never a component's name unless all are null; an
-empty table gives an empty table. Columns other than id and text are ignored.
+one id and different texts are sets of their own, linked only if they are similar; rows with null ids take part
+like all others, and a component is named by its smallest id, or by null if it has none; an empty table gives an
+empty table. Columns other than id and text are ignored. Rows and sets are told apart by 64-bit hashes of id and text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import query, table, text_or_empty
@@ -116,17 +117,22 @@ def match_threshold(percent: int) -> int:
     return max(1, math.floor(COORDINATES * p - 5 * math.sqrt(COORDINATES * p * (1 - p))))
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, values array<bigint>, marks binary"
+SIGNED = "doc_id bigint, key bigint, n_shingles bigint, h1 bigint, h2 bigint, values array<bigint>, marks binary"
+
+
+def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
+    """Hash of id and text of a row; null ids and texts are values of their own."""
+    return F.xxhash64(F.col(id_column).isNull(), F.col(id_column).cast("long"), F.col(text).cast("string"))
 
 
 def sign(docs: DataFrame, size: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: size and digest of its set, the (coordinate, value) numbers, one byte of each value."""
+    """Per row: its key, size and digest of its set, the (coordinate, value) numbers, one byte of each value."""
     coordinate = np.arange(COORDINATES, dtype=np.int64) << 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, h1, h2, values, marks = [], [], [], [], []
-            for body in batch.column(1):
+            for body in batch.column(2):
                 s = shingles(body.as_py(), size)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
@@ -136,11 +142,12 @@ def sign(docs: DataFrame, size: int, id_column: str = "doc_id", text: str = "tex
                 values.append((coordinate | v.astype(np.int64)) if len(s) else [])
                 marks.append((v & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                  pa.array(values, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "values", "marks"])
+                ["doc_id", "key", "n_shingles", "h1", "h2", "values", "marks"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), row_key(id_column, text).alias("key"),
+                       F.col(text).cast("string")).mapInArrow(run, SIGNED)
 
 
 def postings(sets: DataFrame, least: int) -> DataFrame:
@@ -294,19 +301,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id. Sets are linked from ``percent`` of common to all shingles."""
+    """Per row: doc_id, its key, n_shingles, component (a number, null for an empty set) and component_id, the smallest id in it."""
     signed = materialized(sign(docs, size, id_column, text), "signed")
     sets = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("values").alias("values"), F.first("marks").alias("marks"))
+        F.min("key").alias("node"), F.min("doc_id").alias("name"), F.first("n_shingles").alias("n_shingles"),
+        F.first("values").alias("values"), F.first("marks").alias("marks"))
     sets = materialized(sets, "sets")
-    groups = materialized(merge_lists(postings(sets.filter("node is not null"), match_threshold(percent))), "groups")
+    groups = materialized(merge_lists(postings(sets, match_threshold(percent))), "groups")
     used = groups.select("hub").union(groups.select("node")).toDF("node").distinct()
-    texts = _packed(docs.select(F.col(id_column).cast("long").alias("node"), text_or_empty(docs, text).alias("text")), used)
+    texts = _packed(docs.select(row_key(id_column, text).alias("node"), text_or_empty(docs, text).alias("text")), used)
     links = verify_groups(groups, sets, texts, size, percent)
-    named = sets.select("h1", "h2", "node").join(components(links), "node", "left").select(
-        "h1", "h2", F.coalesce("component", "node").alias("component"))
+    # The smallest node of a component has no row there.
+    linked = sets.select("h1", "h2", "node", "name").join(components(links), "node", "left")
+    linked = materialized(linked.select("h1", "h2", F.coalesce("component", "node").alias("component"), "name"), "components")
+    names = linked.groupBy("component").agg(F.min("name").alias("least"))
+    named = linked.join(names, "component").select("h1", "h2", "component", F.col("least").alias("name"))
     return signed.join(named, ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
+        "doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"),
+        F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 MOST_BITS = 1 << 27
@@ -354,4 +366,4 @@ def _packed(texts: DataFrame, used: DataFrame) -> DataFrame:
 def op4_minhash_dedup(spark, folder: str) -> DataFrame:
     """Three-word shingles, similarity of 85 percent, all documents."""
     found = near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.drop("key", "component").withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -93,3 +93,22 @@ def test_cutting_overlapping_values():
     cuts = [{"a": 5, "b": 9}, {"a": 2, "b": 6}, {"a": 2, "b": 4}, {"a": 9, "b": 10}]
     assert corpus_pipeline._cut("0123456789ab", cuts) == "01<SECRET><SECRET>ab"
     assert corpus_pipeline._cut(None, cuts) is None and corpus_pipeline._cut("x", None) == "x"
+
+
+def test_near_dedup_of_repeated_and_missing_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    turned = lambda t, *at: " ".join("changed" if i in at else w for i, w in enumerate(t.split()))
+    a = text(100)
+    rows = [(7, text(k)) for k in range(20)]                                # one id, texts that resemble nothing
+    rows += [(7, text(3)), (8, turned(text(4), 59))]                        # a repeated row, a near copy of one of them
+    rows += [(None, text(50)), (None, turned(text(50), 0))]                 # near copies without ids
+    rows += [(21, turned(a, 0, 1, 2, 3)), (None, a), (20, turned(a, 56, 57, 58, 59))]  # linked only through the middle one
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect())
+    assert max(kept.values()) == 1
+    assert {t for i, t in kept if i == 7} == {text(k) for k in range(20)}
+    assert {i for i, _ in kept if i is not None} == {7, 20}
+    assert sum(i is None for i, _ in kept) == 2 and (None, a) in kept
+    found = corpus_pipeline.minhash_join.near_duplicates(docs, 5, 80).collect()
+    names = {(r.doc_id, r.component_id) for r in found}
+    assert names == {(7, 7), (8, 7), (20, 20), (21, 20), (None, 20), (None, None)}
