@@ -1,5 +1,7 @@
 import random
 
+import hashlib
+
 from evidentia.config import AdmissionPolicy
 from evidentia.streaming.admission import SiteLimitedAdmission, state_rows
 from tests.test_admission import DAY, T0, naive, visitor
@@ -27,3 +29,13 @@ def test_state_rows_without_progress():
         lastProgress = None
 
     assert state_rows(Idle()) == {}
+
+
+def test_text_digests_have_no_limit(spark):
+    from workload.chat import _text_digests
+
+    rows = [("long", k, chr(97 + k % 26) * 30_000) for k in range(40)] + [("empty", 0, ""), ("two", 1, "é"), ("two", 0, "x"), ("two", 2, None)]
+    got = {r.resp_id: r.digest for r in _text_digests(spark.createDataFrame(rows[::-1], "resp_id string, seq long, text string")).collect()}
+    want = {"long": "".join(t for i, _, t in rows if i == "long"), "empty": "", "two": "xé"}
+    assert len(want["long"]) > 1_000_000
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia.config import AdmissionPolicy
@@ -391,6 +395,27 @@ def admit_request_stream(t):
     return _drained(stream, t.spark, "admission").select("request_id", "allowed", "reason")
 
 
+def _text_digests(pieces):
+    """(resp_id, digest) of whole texts of any length: pieces are folded in order and never held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest = None, None
+        for batch in batches:
+            done = []
+            for key, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or key != current:
+                    if digest is not None:
+                        done.append((current, digest.hexdigest()))
+                    current, digest = key, hashlib.sha256()
+                digest.update((piece or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], ["resp_id", "digest"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (current, digest.hexdigest())], ["resp_id", "digest"])
+
+    ordered = pieces.repartition("resp_id").sortWithinPartitions("resp_id", "seq").select("resp_id", "text")
+    return ordered.mapInArrow(run, "resp_id string, digest string")
+
+
 @query(rf"""SELECT conv_id::VARCHAR AS resp_id, sha256(regexp_replace(s, '(?s)\[\[.*?\]\]', '', 'g')) AS digest FROM
 (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS s FROM ({_ANSWERS}) GROUP BY conv_id)""")
 def strip_citation_stream(t):
@@ -403,4 +428,4 @@ def strip_citation_stream(t):
     deltas.write.parquet(path)
     stream = stream_citations.strip_citation_stream(t.spark.readStream.schema(deltas.schema).parquet(path))
     pieces = _drained(stream, t.spark, "citations")
-    return dialogue.assemble_answers(pieces, limit=1_000_000).select("resp_id", F.sha2("text", 256).alias("digest"))
+    return _text_digests(pieces)
