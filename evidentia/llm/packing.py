@@ -63,7 +63,8 @@ class WordEncoder:
         split = {}
         for w in dict.fromkeys(words):
             s = w.decode("utf-8", "surrogatepass")
-            if _FAR.search(s):
+            # Special tokens are matched on the text as it stands.
+            if _FAR.search(s) or "<|" in s:
                 split[w] = (s,)
             else:
                 s = s.lower()

@@ -305,3 +305,13 @@ def test_empty_benchmark_and_corpus(spark, odd_documents):
     rows = _hits(odd_documents, [], spark)
     assert len(rows) == odd_documents.count() and not any(r.n_hit for r in rows)
     assert _hits(odd_documents.limit(0), [(1, "a b")], spark) == []
+
+
+def test_words_with_special_tokens_keep_their_case():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["<|ENDOFTEXT|>", "A <|EndOfText|> b", "Ab,C<|EndOfText|>D.E", "x<|endoftext|>Y <|StartOfText|>, Z", "a<| B |>"]
+    for t in texts:
+        got = np.frombuffer(packing.WordEncoder(tokenizer).encode(t), "<u4").tolist()
+        assert got == tokenizer.encode(t, add_special_tokens=False).ids, t
