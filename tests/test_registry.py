@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -26,3 +29,18 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not present")
 def test_entry_returns_ranked_rows(spark):
     assert entry(spark).columns == ["query_id", "rank", "chunk_id", "source_id", "score"]
+
+
+def test_import_without_the_optional_subpackage(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for part in ("evidentia", "workload"):
+        shutil.copytree(os.path.join(root, part), tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for part in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, part)):
+            shutil.copy(os.path.join(root, part), tmp_path / part)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)},
+                          capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    count, *rest = done.stdout.split()
+    assert int(count) > 100 and rest == ["False", "False"]
