@@ -1,6 +1,6 @@
 """Registers the queries of all operators of this package."""
 
 from evidentia.llm import (  # noqa: F401
-    benchmark_decontamination, license_scan, minhash_join, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters, warc_index,
+    benchmark_decontamination, license_scan, minhash_join, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters, vector_codes, warc_index,
 )
 from evidentia.llm.common import QUERIES, SQL  # noqa: F401
