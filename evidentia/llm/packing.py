@@ -7,8 +7,9 @@ combination that leaves the least slack, and uses it as often as the counts allo
 next one. A plan is a few thousand combinations with their multiplicities. Pieces are then numbered
 inside their length and look up their sequence and offset.
 
-Scale: tokenizing is one pass over the texts. Numbers inside a length come from counts of (task, length),
-so a length that a third of all pieces share is never one task. Only rows of a few numbers are shuffled.
+Scale: tokenizing is one pass over the texts; the driver reads the tokenizer's file and broadcasts it. Numbers
+inside a length come from counts of (task, length), so a length that a third of all pieces share is never one
+task. Only rows of a few numbers are shuffled.
 
 Defined results: a null or empty text is one piece, the separator alone; repeated documents are packed one
 by one; a document of exactly the capacity is one full sequence; an empty table gives an empty table.
@@ -18,12 +19,12 @@ Columns other than id and text are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,68 +34,100 @@ from evidentia.operators.common import materialized
 
 CAPACITY = 2048
 CACHED_WORDS = 300_000
+WORDS_AT_ONCE = 500_000
+BYTES_AT_ONCE = 4 << 20
 
+# Words that only the tokenizer may change: characters beyond U+024F, I with a dot (its lower case is two), special tokens.
+_AS_IT_STANDS = "[^\x00-ɏ]|İ|<[|]"
 # Letters up to U+024F before one of these marks: no token of the vocabulary's pattern spans the border.
-_BORDER = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)(?=[.,;:!?*$%&#])")
-_FAR = re.compile("[^\x00-ɏ]")
+_BORDER = "^(?P<stem>[a-zß-öø-ɏ]+)(?P<rest>[.,;:!?*$%&#](?s:.*))$"
 
 
 class WordEncoder:
-    """Token ids of a text as little-endian 32-bit numbers, with the words met so far kept by.
+    """Token ids of texts as unsigned 32-bit numbers, with the words met last kept by.
 
     The vocabulary's pattern never spans white space, so a text is the sequence of its white-space
-    separated words; only words that are new to the worker reach the tokenizer.
+    separated words. Arrow splits and numbers the words of many texts at once; each distinct word is
+    lower-cased, cut at its border into a stem and marks, and looked up; only stems and marks that are
+    new to the worker reach the tokenizer, in one call. Two generations of ``cached`` entries are kept,
+    so words in use survive when rare ones are forgotten.
     """
 
     def __init__(self, tokenizer, cached: int = CACHED_WORDS) -> None:
         self.tokenizer, self.cached = tokenizer, cached
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        new = [p for p in dict.fromkeys(parts) if p not in self.parts]
-        if len(self.parts) + len(new) > self.cached:
-            self.parts.clear()
-            new = list(dict.fromkeys(parts))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        split = {}
-        for w in dict.fromkeys(words):
-            s = w.decode("utf-8", "surrogatepass")
-            # Special tokens are matched on the text as it stands.
-            if _FAR.search(s) or "<|" in s:
-                split[w] = (s,)
-            else:
-                s = s.lower()
-                m = _BORDER.match(s)
-                split[w] = (m[1], s[m.end():]) if m else (s,)
-        self._encode_parts([p for ps in split.values() for p in ps])
-        return {w: b"".join([self.parts[p] for p in ps]) for w, ps in split.items()}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        ids = list(map(self.young.get, parts))
+        missing = [i for i, k in enumerate(ids) if k is None]
+        new = []
+        for i in missing:
+            ids[i] = self.old.get(parts[i])
+            if ids[i] is None:
+                new.append(i)
+        for i, e in zip(new, self.tokenizer.encode_batch_fast([parts[i] for i in new], add_special_tokens=False) if new else []):
+            ids[i] = np.array(e.ids, "<u4").tobytes()
+        if len(self.young) + len(missing) > self.cached:
+            self.old, self.young = self.young, {"": b""}
+        self.young.update((parts[i], ids[i]) for i in missing)
+        return ids
+
+    def _parts(self, words: pa.StringArray) -> tuple[list[str], np.ndarray]:
+        """Distinct stems and marks, and the two numbers of each word."""
+        own = pc.match_substring_regex(words, _AS_IT_STANDS)
+        lowered = pc.if_else(own, words, pc.utf8_lower(words))
+        cut = pc.extract_regex(lowered, _BORDER)
+        whole = pc.or_(own, pc.is_null(cut))
+        stems = pc.if_else(whole, lowered, pc.struct_field(cut, "stem"))
+        rests = pc.if_else(whole, "", pc.struct_field(cut, "rest"))
+        parts = pa.concat_arrays([stems, rests]).dictionary_encode()
+        return parts.dictionary.to_pylist(), parts.indices.to_numpy().reshape(2, -1).T
+
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text ends."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        parts, of_word = self._parts(words.dictionary)
+        known = self._ids(parts)
+        lengths = np.array([len(k) // 4 for k in known] or [0], np.int64)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        places = words.indices.to_numpy()
+        out, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(places), WORDS_AT_ONCE):
+            taken = of_word[places[at:at + WORDS_AT_ONCE]].ravel()
+            size = lengths[taken]
+            total = np.cumsum(size)
+            step = np.repeat(starts[taken] - total + size, size) + np.arange(total[-1])
+            out.append(flat[step])
+            ends.append(total[1::2] + ends[-1][-1])
+        after = np.concatenate(ends)  # ids up to and with each word
+        return np.concatenate(out), after[np.cumsum(np.asarray(split.value_lengths(), np.int64))]
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        known = list(map(self.words.get, words))
-        if None in known:
-            learnt = self._learn([w for w, k in zip(words, known) if k is None])
-            known = [learnt[w] if k is None else k for w, k in zip(words, known)]
-            if len(self.words) + len(learnt) > self.cached:
-                self.words.clear()
-            self.words.update(learnt)
-        return b"".join(known)
+        return self.encode_all(pa.array([text or ""], pa.string()))[0].tobytes()
+
+
+def _slices(texts: pa.StringArray, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, pa.StringArray]]:
+    """Runs of whole texts of about ``most`` bytes with the number of their first row."""
+    group = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)) // most
+    cuts = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield a, texts.slice(a, b - a)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
+def _encoder(model: str, name: str) -> WordEncoder:
+    if name not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = WordEncoder(Tokenizer.from_file(path))
-    return _ENCODERS[path]
+        _ENCODERS[name] = WordEncoder(Tokenizer.from_str(model))
+    return _ENCODERS[name]
 
 
 PIECES = ("doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, block int, place bigint")
@@ -104,18 +137,23 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
                      capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document; ``place`` numbers the pieces of one length inside a task's ``block``."""
 
+    with open(tokenizer_path, encoding="utf-8") as file:
+        model = docs.sparkSession.sparkContext.broadcast(file.read())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, block = _encoder(model.value, tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(body.as_py()) + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(part), block, int(seen[n])))
-                    seen[n] += 1
+            rows, keys = [], batch.column(0).to_pylist()
+            for first, texts in _slices(pc.fill_null(batch.column(1), "")):
+                ids, ends = encoder.encode_all(texts)
+                for row, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist()), first):
+                    document = ids[a:b].tobytes() + b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(document), 4 * capacity)):
+                        part = document[at:at + 4 * capacity]
+                        n = len(part) // 4
+                        rows.append((keys[row], piece, at // 4, n, zlib.crc32(part), block, int(seen[n])))
+                        seen[n] += 1
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "place"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
