@@ -115,3 +115,105 @@ def pieces(tokenizer, doc_id, text, capacity=2048):
 
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+# Vector codes
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """[(vec_id, codes, error)] and codebooks by full rescans in plain integers; rows are (vec_id, label, vector)."""
+    import math
+
+    kept = [(i, label, v) for i, label, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    kept = [r for r in kept if len(r[2]) == len(kept[0][2])]
+    if not kept:
+        return [], []
+    width = -(-len(kept[0][2]) // parts)
+    whole = [[math.floor(256 * x) for x in v] + [0] * (parts * width - len(v)) for _, _, v in kept]
+    cut = [[w[p * width:(p + 1) * width] for p in range(parts)] for w in whole]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+    for turn in range(rounds + 1):
+        codes, errors = [], []
+        for c in cut:
+            best = [min((sum((a - b) ** 2 for a, b in zip(c[p], e)), i) for i, e in enumerate(books[p])) for p in range(parts)]
+            codes.append([i for _, i in best])
+            errors.append(sum(d for d, _ in best))
+        if turn < rounds:
+            for p in range(parts):
+                for e in range(len(books[p])):
+                    own = [c[p] for c, k in zip(cut, codes) if k[p] == e]
+                    if own:
+                        books[p][e] = [sum(col) // len(own) for col in zip(*own)]
+    return [(r[0], r[1], k, d) for r, k, d in zip(kept, codes, errors)], books
+
+
+# Spelling variants
+
+def edit_apart(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    return any(a[:i] + a[i + (len(a) == len(b)):] == b[:i] + b[i + 1:] for i in range(len(b)))
+
+
+def variants(rows, shortest=7, least=2, factor=10):
+    """{word: (form, root, n, n_near, form_n)}; rows are (doc_id, text)."""
+    n = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(_LOW)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] += 1
+    words = {w: c for w, c in n.items() if len(w) >= shortest and c >= least}
+    near = {w: [v for v in words if edit_apart(w, v)] for w in words}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= factor * words[w] else None
+    out = {}
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, words[w], len(near[w]), words.get(form[w]))
+    return out
+
+
+# Language models
+
+def symbol_sequence(text, symbol):
+    """The symbols of a text: letters, and one border for each run of anything else."""
+    out = [0, 0, 0]
+    for c in text:
+        s = symbol(c)
+        if s or out[-1]:
+            out.append(s)
+    return out
+
+
+def kneser_ney(sequences, symbols=64, order=4):
+    """Probability of a symbol after others by the interpolated definition, from the training sequences."""
+    counts = [None] * (order + 1)
+    counts[order] = Counter(tuple(s[i - order + 1:i + 1]) for s in sequences for i in range(order - 1, len(s)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k in range(1, order + 1):
+        ones, twos = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+        discount[k] = ones / (ones + 2 * twos) if ones else 0.5
+
+    def probability(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / symbols
+        after = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+        lower = probability(gram[1:])
+        if not after:
+            return lower
+        d = discount[k]
+        return (max(counts[k].get(gram, 0) - d, 0) + d * len(after) * lower) / sum(after)
+
+    return probability
