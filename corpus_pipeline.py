@@ -30,11 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, and one of its rows without an id."""
+    """One document of each group of near copies: the one with the smallest id, one without an id only where none has one."""
     rows = minhash_join.near_duplicates(docs, size=5, percent=80)
     # Rows with an empty set resemble nothing; only repeated rows of them go.
-    group = rows.groupBy(F.coalesce("component", "key").alias("c"), F.col("component").isNull().alias("e"), F.col("doc_id").isNull().alias("n"))
-    first = group.agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    group = rows.groupBy(F.coalesce("component", "key").alias("c"), F.col("component").isNull().alias("e"))
+    named_first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    first = group.agg(F.min(named_first).alias("first")).select(F.col("first.key").alias("__key"))
     one = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
     once = docs.withColumn("__key", minhash_join.row_key()).withColumn("__turn", F.row_number().over(one)).filter("__turn = 1")
     return once.join(first, "__key", "left_semi").select(*docs.columns)
