@@ -1,24 +1,28 @@
-"""Inverted term index and binary BM25 with field boosts (many queries per job).
-
-The index is two tables. ``entries`` holds one row per chunk and distinct
-(field, key) with the project as ``scope``; keys are terms, or whole normalized phrases behind a marker that
-no term can contain. ``frequency`` counts chunks per body term. Queries explode
-to the same key space, so body terms, field boosts and phrase boosts are one
-equi-join and one additive aggregation; work grows with matches, not with
-queries times chunks.
+"""Term index over chunks and metadata rows, and bounded BM25 search (many queries per job).
+
+Title, aliases, tags, source and questions are the same for all chunks of a metadata row, so their terms are
+posted once per distinct row (``fields``), and only body terms per chunk. A query's score for a chunk is its
+body score plus the boost of the chunk's row. Boosts are summed per query and row; chunks meet them only if
+they have a body hit or are among the first ``per`` ids of their row, since any other chunk of the row follows
+at least ``per`` chunks of its source that score as much. Scored rows are therefore at most the body hits read
+plus ``per`` for each boosted row.
+
+A stored index also holds posting blocks: postings of one term and similar length, with the shortest length as
+the bound of what any of them can score. A search first reads the blocks with the highest bounds of each query
+and takes the score of the last place as a limit; then it reads only blocks that could still reach the limit,
+and keeps only chunks met in a block whose term and all weaker ones together could.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.config import BM25_B, BM25_K, RetrievalConfig
 from evidentia.functions import text
-from evidentia.operators.common import top_per
+from evidentia.operators.common import materialized, top_per
 
 # Score added once per matching term or phrase of a field.
 FIELD_BOOSTS = {"title": 1.5, "alias": 1.75, "tag": 1.25, "source": 1.0, "question": 3.0}
@@ -30,121 +34,109 @@ QUESTION_MARK = "\u0002"
 SEPARATOR = "\u0003"
 SCORE_DIGITS = 9
 
+FIRST_IDS = 8       # ids kept per metadata row; searches that allow more per source read them from the chunks
+BLOCK_POSTINGS = 256
+BANDS = 4           # length bands per doubling of the length
+OPENING_BLOCKS = 16  # blocks per query that set its limit
+SLACK = 1e-6
+
+_METADATA = ["source_id", "scope", "title", "aliases", "tags", "question_aliases"]
+
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``entries(chunk_id, source_id, scope, body_length, field, key)`` and one-row
-    ``stats(n, average)``; ``frequency(key, df)`` where it has been stored."""
+    """``chunks(chunk_id, row_id, source_id, scope, body_length, body_terms)``,
+    ``rows(row_id, source_id, scope, first_ids)``, ``fields(row_id, source_id, scope, field, key)`` and one-row
+    ``stats(n, average)``; ``frequency(key, df)`` and ``blocks`` where they have been stored."""
 
-    entries: DataFrame
+    chunks: DataFrame
+    rows: DataFrame
+    fields: DataFrame
     stats: DataFrame
     frequency: DataFrame | None = None
+    blocks: DataFrame | None = None
 
-    def persist(self) -> "LexicalIndex":
-        return of_entries(self.entries.persist(StorageLevel.MEMORY_AND_DISK))
+    def postings(self) -> DataFrame:
+        """(chunk_id, row_id, source_id, scope, body_length, key), one row per distinct body term."""
+        return self.chunks.select("chunk_id", "row_id", "source_id", "scope", "body_length", F.explode("body_terms").alias("key"))
 
     def frequency_of(self, vocabulary: DataFrame) -> DataFrame:
         """Document frequency of the given keys; only their rows are counted."""
         if self.frequency is not None:
             return self.frequency.join(vocabulary, "key", "left_semi")
-        return document_frequency(self.entries.join(vocabulary, "key", "left_semi"))
-
-    def of_fields(self, condition: Column) -> "LexicalIndex":
-        """The same index seen through fewer entries; statistics stay whole."""
-        stored = self.frequency if self.frequency is not None else document_frequency(self.entries)
-        return LexicalIndex(self.entries.filter(condition), self.stats, stored)
-
-    def write(self, path: str) -> None:
-        """Store the index clustered by key. Range partitioning on (key, chunk)
-        lets one hot key span files, and key statistics prune row groups."""
-        (
-            self.entries.repartitionByRange("key", "chunk_id")
-            .sortWithinPartitions("key", "chunk_id")
-            .write.mode("overwrite").parquet(f"{path}/entries")
-        )
-        document_frequency(self.entries).write.mode("overwrite").parquet(f"{path}/frequency")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        return document_frequency(self.postings().join(vocabulary, "key", "left_semi"))
+
+    def write(self, path: str, block: int = BLOCK_POSTINGS) -> None:
+        """Store the index. Frequencies and blocks are clustered by key, so key statistics prune row groups;
+        a hot key has many blocks and may span files."""
+        frequency = document_frequency(self.postings())
+        for name, frame, keys in (("chunks", self.chunks, []), ("rows", self.rows, []), ("fields", self.fields, ["key", "row_id"]),
+                                  ("stats", self.stats, []), ("frequency", frequency, ["key"]),
+                                  ("blocks", posting_blocks(self.postings(), block), ["key", "shortest"])):
+            if keys:
+                frame = frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "LexicalIndex":
-        tables = [spark.read.parquet(f"{path}/{t}") for t in ("entries", "stats", "frequency")]
-        return LexicalIndex(*tables)
+        names = ("chunks", "rows", "fields", "stats", "frequency", "blocks")
+        return LexicalIndex(*[spark.read.parquet(f"{path}/{t}") for t in names])
 
 
 def _entry(field: str, keys: Column) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(field).alias("field"), k.alias("key")))
 
 
-def with_terms(chunks: DataFrame) -> DataFrame:
-    """Add the distinct terms per field and the phrase keys of each chunk.
-
-    Short fields are folded before being split, as a UDF cannot run inside a
-    higher-order function.
-    """
-    folded = chunks.select(
-        "*",
-        text.build_terms(F.col("text")).alias("body_terms"),
-        text.fold(F.col("title")).alias("_title"),
-        text.fold(F.array_join("aliases", SEPARATOR)).alias("_aliases"),
-        text.fold(F.array_join("tags", " ")).alias("_tags"),
-        text.fold(F.col("source_id")).alias("_source"),
-        text.fold(F.array_join("question_aliases", SEPARATOR)).alias("_questions"),
-    )
-    return folded.select(
-        *chunks.columns,
-        "body_terms",
-        F.greatest(F.size("body_terms"), F.lit(1)).alias("body_length"),
-        text.build_terms_folded(F.col("_title")).alias("title_terms"),
-        text.build_terms_folded(F.col("_aliases")).alias("alias_terms"),
-        text.build_terms_folded(F.col("_tags")).alias("tag_terms"),
-        text.build_terms_folded(F.col("_source")).alias("source_terms"),
-        text.build_terms_folded(F.col("_questions")).alias("question_terms"),
-        text.strip_phrase(F.col("_title")).alias("title_phrase"),
-        F.array_distinct(F.filter(
-            F.transform(F.split("_aliases", SEPARATOR), text.strip_phrase), lambda p: p != ""
-        )).alias("alias_phrases"),
-        text.strip_phrase(F.col("_source")).alias("source_phrase"),
-        F.array_distinct(F.filter(
-            F.transform(F.split("_questions", SEPARATOR), text.normalize_query_folded), lambda p: p != ""
-        )).alias("question_phrases"),
-    )
+def _folded(parts: Column) -> Column:
+    """Fold many short texts in one call, as a UDF cannot run inside a higher-order function."""
+    return text.fold(F.array_join(parts, SEPARATOR))
 
 
-def field_terms(chunks: DataFrame, questions: bool = False) -> DataFrame:
-    """Distinct (field, key) rows of each chunk with its body length."""
-    termed = with_terms(chunks)
-
-    def phrase(c: Column) -> Column:
-        return F.when(c != "", F.array(F.concat(F.lit(PHRASE_MARK), c))).otherwise(
-            F.array().cast("array<string>"))
-
-    arrays = [
-        _entry("chunk", F.array(F.lit(""))),
-        _entry("body", F.col("body_terms")),
-        _entry("title", F.col("title_terms")),
-        _entry("alias", F.col("alias_terms")),
-        _entry("tag", F.col("tag_terms")),
-        _entry("source", F.col("source_terms")),
-        _entry("title", phrase(F.col("title_phrase"))),
-        _entry("alias", F.transform("alias_phrases", lambda p: F.concat(F.lit(PHRASE_MARK), p))),
-        _entry("source", phrase(F.col("source_phrase"))),
-    ]
-    if questions:
-        arrays += [
-            _entry("question", F.col("question_terms")),
-            _entry("question", F.transform(
-                "question_phrases", lambda p: F.concat(F.lit(QUESTION_MARK), p))),
-        ]
+def described(chunks: DataFrame, questions: bool = False) -> DataFrame:
+    """Chunks with their distinct body terms and the metadata that makes their row."""
     scope = F.coalesce("project_id", F.lit("")) if "project_id" in chunks.columns else F.lit("")
-    return termed.select(
-        F.col("id").alias("chunk_id"), "source_id", scope.alias("scope"), "body_length",
-        F.inline(F.concat(*arrays))
-    )
+    asked = F.col("question_aliases") if questions else F.array().cast("array<string>")
+    terms = text.build_terms(F.col("text"))
+    rows = chunks.select(F.col("id").alias("chunk_id"), "source_id", scope.alias("scope"), "title", "aliases", "tags",
+                         asked.alias("question_aliases"), terms.alias("body_terms"))
+    row_id = F.unhex(F.md5(F.to_json(F.struct(*_METADATA), {"ignoreNullFields": "false"})))
+    return rows.select("*", row_id.alias("row_id"), F.greatest(F.size("body_terms"), F.lit(1)).alias("body_length"))
+
+
+def field_terms(rows: DataFrame) -> DataFrame:
+    """(row_id, source_id, scope, field, key) of the terms and phrases of each metadata row."""
+    folded = rows.select(
+        "row_id", "source_id", "scope", text.fold(F.col("title")).alias("_title"), _folded(F.col("aliases")).alias("_aliases"),
+        text.fold(F.array_join("tags", " ")).alias("_tags"), text.fold(F.col("source_id")).alias("_source"),
+        _folded(F.col("question_aliases")).alias("_questions"))
+
+    def phrases(parts: Column, mark: str) -> Column:
+        kept = F.array_distinct(F.filter(parts, lambda p: p != ""))
+        return F.transform(kept, lambda p: F.concat(F.lit(mark), p))
+
+    def each(column: str, normalize) -> Column:
+        return F.transform(F.split(column, SEPARATOR), normalize)
+
+    keys = [_entry(field, text.build_terms_folded(F.col(column))) for field, column in (
+        ("title", "_title"), ("alias", "_aliases"), ("tag", "_tags"), ("source", "_source"), ("question", "_questions"))]
+    keys += [
+        _entry("title", phrases(F.array(text.strip_phrase(F.col("_title"))), PHRASE_MARK)),
+        _entry("alias", phrases(each("_aliases", text.strip_phrase), PHRASE_MARK)),
+        _entry("source", phrases(F.array(text.strip_phrase(F.col("_source"))), PHRASE_MARK)),
+        _entry("question", phrases(each("_questions", text.normalize_query_folded), QUESTION_MARK)),
+    ]
+    return folded.select("row_id", "source_id", "scope", F.inline(F.concat(*keys)))
 
 
-def document_frequency(entries: DataFrame) -> DataFrame:
+def first_ids(members: DataFrame, per: int) -> DataFrame:
+    """(row_id, first_ids): the smallest ``per`` chunk ids of each row, cut per task before any shuffle."""
+    first = top_per(members.select("row_id", "chunk_id"), ["row_id"], [F.col("chunk_id")], per, "_r")
+    return first.groupBy("row_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("first_ids"))
+
+
+def document_frequency(postings: DataFrame) -> DataFrame:
     """Chunks per body term; each chunk counts a term once."""
-    return entries.filter("field = 'body'").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    return postings.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -162,13 +154,33 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def of_entries(entries: DataFrame) -> LexicalIndex:
-    """Index whose statistics come from the one marker row of each chunk."""
-    return LexicalIndex(entries, corpus_stats(entries.filter("field = 'chunk'")))
+def lexical_index(chunks: DataFrame, questions: bool = False) -> LexicalIndex:
+    """Tokenize the chunks once; metadata rows are folded and posted once each."""
+    stored = materialized(described(chunks, questions), "index-chunks")
+    rows = stored.select("row_id", *_METADATA).distinct()
+    firsts = materialized(first_ids(stored, FIRST_IDS), "index-first-ids")
+    fields = materialized(field_terms(rows), "index-fields")
+    return LexicalIndex(
+        stored.drop("title", "aliases", "tags", "question_aliases"),
+        rows.select("row_id", "source_id", "scope").join(firsts, "row_id"), fields,
+        materialized(corpus_stats(stored), "index-stats"))
+
 
+def posting_blocks(postings: DataFrame, most: int = BLOCK_POSTINGS) -> DataFrame:
+    """(key, shortest, postings) with about ``most`` postings of one term and length band a block.
 
-def lexical_index(chunks: DataFrame, questions: bool = False) -> LexicalIndex:
-    return of_entries(field_terms(chunks, questions))
+    Large (term, band) groups are dealt into as many blocks by a hash of the chunk, so no group is gathered whole.
+    """
+    band = F.floor(F.log2(F.col("body_length").cast("double")) * BANDS).cast("int")
+    banded = postings.withColumn("_band", band)
+    large = banded.groupBy("key", "_band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    large = materialized(large.select("key", "_band", F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "large-terms")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = banded.join(large, ["key", "_band"], "left").withColumn("_part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int"))
+    return dealt.groupBy("key", "_band", "_part").agg(
+        F.min("body_length").alias("shortest"),
+        F.collect_list(F.struct("chunk_id", "row_id", "source_id", "body_length")).alias("postings"),
+    ).select("key", "shortest", "postings")
 
 
 def query_keys(queries: DataFrame) -> DataFrame:
@@ -212,65 +224,108 @@ def weighted_keys(keys: DataFrame, index: LexicalIndex) -> DataFrame:
     return keys.join(weights, "key")
 
 
-def term_hits(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """One row per query, chunk and matching (field, key) with its contribution.
+def _is_phrase() -> Column:
+    return F.col("key").startswith(PHRASE_MARK)
+
+
+def _is_question() -> Column:
+    return F.col("key").startswith(QUESTION_MARK)
+
+
+def _on(keys: DataFrame) -> list[str]:
+    """Keys with a ``scope`` meet only the entries of that project."""
+    return ["key", "scope"] if "scope" in keys.columns else ["key"]
+
+
+def body_hits(weighted: DataFrame, index: LexicalIndex) -> DataFrame:
+    """One row per query, chunk and matching body term with its weight."""
+    hits = index.postings().join(weighted.filter("idf IS NOT NULL"), _on(weighted))
+    return hits.select("query_id", "chunk_id", "row_id", "source_id",
+                       bm25_weight(F.col("idf"), F.col("body_length"), F.col("average")).alias("weight"))
 
-    Keys with a ``scope`` meet only the entries of that project.
-    """
-    on = ["key", "scope"] if "scope" in keys.columns else ["key"]
-    hits = index.entries.join(weighted_keys(keys, index), on)
-    phrase = F.col("key").startswith(PHRASE_MARK)
-    field_value = lambda table: F.coalesce(*[
-        F.when(F.col("field") == name, F.lit(value)) for name, value in table.items()
-    ])
-    weight = (
-        F.when(F.col("field") == "body",
-               bm25_weight(F.col("idf"), F.col("body_length"), F.col("average")))
-        .when(F.col("key").startswith(QUESTION_MARK), F.lit(0.0))
-        .when(phrase, field_value(PHRASE_BOOSTS))
-        .otherwise(field_value(FIELD_BOOSTS))
-    )
-    return hits.select(
-        "query_id", "chunk_id", "source_id", "n_terms", "field", "key", weight.alias("weight"),
-        (phrase | F.col("key").startswith(QUESTION_MARK)).alias("is_phrase"),
-    )
+
+def field_hits(keys: DataFrame, index: LexicalIndex) -> DataFrame:
+    """One row per query, metadata row and matching (field, key) with its weight."""
+    of = lambda table: F.coalesce(*[F.when(F.col("field") == name, F.lit(value)) for name, value in table.items()])
+    weight = F.when(_is_question(), F.lit(0.0)).when(_is_phrase(), of(PHRASE_BOOSTS)).otherwise(of(FIELD_BOOSTS))
+    return index.fields.join(keys, _on(keys)).select(
+        "query_id", "row_id", "source_id", "n_terms", "field", "key", weight.alias("weight"),
+        (_is_phrase() | _is_question()).alias("is_phrase"))
 
 
 def bm25(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Binary BM25 alone."""
-    hits = term_hits(keys, index.of_fields(F.col("field") == "body"))
+    """Binary BM25 alone, per query and chunk."""
+    hits = body_hits(materialized(weighted_keys(keys, index), "weighted-keys"), index)
     return hits.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
 
 
 def field_boosts(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Metadata term boosts alone."""
-    hits = term_hits(keys, index.of_fields(F.col("field") != "body")).filter("NOT is_phrase")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("boost"))
+    """Metadata term boosts alone, per query and metadata row."""
+    hits = field_hits(keys, index).filter("NOT is_phrase")
+    return hits.groupBy("query_id", "row_id", "source_id").agg(F.sum("weight").alias("boost"))
 
 
 def phrase_boosts(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Whole-query equality with a title, alias or source id."""
-    hits = term_hits(keys, index.of_fields(F.col("key").startswith(PHRASE_MARK)))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("boost"))
+    """Whole-query equality with a title, alias or source id, per query and metadata row."""
+    hits = field_hits(keys.filter(_is_phrase()), index)
+    return hits.groupBy("query_id", "row_id", "source_id").agg(F.sum("weight").alias("boost"))
+
+
+def _covered() -> Column:
+    terms = F.count_if((F.col("field") == "alias") & ~F.col("is_phrase"))
+    return (F.max("n_terms") > 0) & (terms == F.max("n_terms"))
 
 
 def alias_coverage(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Chunks whose aliases contain every search term of the query."""
-    terms = (F.col("field") == "alias") & ~F.col("key").startswith(PHRASE_MARK)
-    hits = term_hits(keys, index.of_fields(terms))
-    matched = hits.groupBy("query_id", "chunk_id").agg(
-        F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
-    return matched.filter("matched = n_terms").select("query_id", "chunk_id")
-
-
-def lexical_scores(keys: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Sum of all contributions per query and chunk, including alias coverage."""
-    hits = term_hits(keys, index).filter("field <> 'question'")
-    covered = F.count_if((F.col("field") == "alias") & ~F.col("is_phrase")) == F.max("n_terms")
-    return hits.groupBy("query_id", "chunk_id", "source_id").agg(
-        (F.sum("weight") + F.when(covered & (F.max("n_terms") > 0), F.lit(FULL_ALIAS_BOOST)).otherwise(0.0))
-        .alias("score")
-    )
+    """Metadata rows whose aliases contain every search term of the query."""
+    return field_hits(keys, index).groupBy("query_id", "row_id", "source_id").agg(_covered().alias("covered")).filter(
+        "covered").drop("covered")
+
+
+def row_boosts(keys: DataFrame, index: LexicalIndex, questions: bool = False) -> DataFrame:
+    """(query_id, row_id, source_id, boost): everything a chunk gets for its metadata row."""
+    hits = field_hits(keys, index)
+    if not questions:
+        hits = hits.filter("field <> 'question'")
+    return hits.groupBy("query_id", "row_id", "source_id").agg(
+        (F.sum("weight") + F.when(_covered(), F.lit(FULL_ALIAS_BOOST)).otherwise(0.0)).alias("boost"))
+
+
+def chunk_scores(keys: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(query_id, chunk_id, terms, exact): term weights of all fields without phrases and coverage, and whether
+    the whole query is one of the questions. For callers that rank by more than these scores."""
+    body = body_hits(materialized(weighted_keys(keys, index), "weighted-keys"), index)
+    rows = field_hits(keys.filter(~_is_phrase()), index).groupBy("query_id", "row_id").agg(
+        F.sum("weight").alias("weight"), F.max(_is_question()).alias("exact"))
+    members = index.chunks.select("chunk_id", "row_id").join(rows, "row_id").select("query_id", "chunk_id", "weight", "exact")
+    hits = body.select("query_id", "chunk_id", "weight", F.lit(False).alias("exact")).unionByName(members)
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("terms"), F.max("exact").alias("exact"))
+
+
+def _with_boosts(body: DataFrame, boosts: DataFrame, index: LexicalIndex, per: int) -> DataFrame:
+    """Scores of all chunks with a body hit and of the first ids of each boosted row.
+
+    A first id may also have a body hit; the larger score is the whole one.
+    """
+    firsts = index.rows.select("row_id", "first_ids") if per <= FIRST_IDS else first_ids(index.chunks, per)
+    bare = boosts.join(firsts, "row_id").select(
+        "query_id", F.explode(F.slice("first_ids", 1, max(per, 1))).alias("chunk_id"), "source_id", F.col("boost").alias("score"))
+    added = boosts.select("query_id", "row_id", "boost")
+    hit = body.join(added, ["query_id", "row_id"], "left").select(
+        "query_id", "chunk_id", "source_id", (F.col("body") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+    return hit.unionByName(bare).groupBy("query_id", "chunk_id", "source_id").agg(F.max("score").alias("score"))
+
+
+def _body_scores(hits: DataFrame, *kept: Column) -> DataFrame:
+    return hits.groupBy("query_id", "chunk_id", "row_id", "source_id").agg(F.sum("weight").alias("body"), *kept)
+
+
+def lexical_scores(keys: DataFrame, index: LexicalIndex, per: int = 3) -> DataFrame:
+    """(query_id, chunk_id, source_id, score) of every chunk with a body hit and of the first ``per`` chunks of
+    each row with a boost."""
+    weighted = materialized(weighted_keys(keys, index), "weighted-keys")
+    boosts = materialized(row_boosts(keys, index), "row-boosts")
+    return _with_boosts(_body_scores(body_hits(weighted, index)), boosts, index, per)
 
 
 def above_minimum(scored: DataFrame, minimum: float) -> DataFrame:
@@ -289,11 +344,65 @@ def topk_capped(scored: DataFrame, k: int = 8, per: int = 3) -> DataFrame:
     return top_per(capped, ["query_id"], order, k, "rank").drop("_source_rank")
 
 
+def _block_keys(weighted: DataFrame, boosts: DataFrame) -> DataFrame:
+    """Per query and term: the idf sum of all terms and of those not stronger than it, and the best boost."""
+    terms = weighted.filter("idf IS NOT NULL")
+    order = Window.partitionBy("query_id").orderBy("idf", "key")
+    best = boosts.groupBy("query_id").agg(F.max("boost").alias("best"))
+    return terms.join(best, "query_id", "left").select(
+        "query_id", "key", "idf", "average", F.coalesce("best", F.lit(0.0)).alias("best"),
+        F.sum("idf").over(Window.partitionBy("query_id")).alias("all_idf"),
+        F.sum("idf").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("up_to_idf"))
+
+
+def _block_hits(blocks: DataFrame) -> DataFrame:
+    rows = blocks.select("query_id", "idf", "average", "generates", F.inline("postings"))
+    return rows.select("query_id", "chunk_id", "row_id", "source_id", "generates",
+                       bm25_weight(F.col("idf"), F.col("body_length"), F.col("average")).alias("weight"))
+
+
+def readable_blocks(weighted: DataFrame, boosts: DataFrame, index: LexicalIndex, k: int, per: int, minimum: float) -> DataFrame:
+    """The blocks of each query that may hold one of its ``k`` results; ``generates`` marks those whose term,
+    with all weaker ones, could reach the limit alone.
+
+    The limit is the score of the last place among the chunks of the opening blocks and the first ids of
+    boosted rows. These scores leave terms out, so the true last place scores no less. Every chunk of a block
+    is at least as long as the block's shortest, so it scores at most as if it were as short and held every
+    term; a chunk below the limit is no result, whichever of its blocks are read.
+    """
+    keys = materialized(_block_keys(weighted, boosts), "block-keys")
+    found = index.blocks.join(keys, "key")
+    reach = bm25_weight(F.lit(1.0), F.col("shortest"), F.col("average"))
+    opening = top_per(found.withColumn("_bound", reach * F.col("idf")), ["query_id"], [F.col("_bound").desc(), F.col("key")],
+                      OPENING_BLOCKS, "_r").withColumn("generates", F.lit(True))
+    lower = _with_boosts(_body_scores(_block_hits(opening)), boosts, index, per)
+    last = topk_capped(above_minimum(lower, minimum), k, per).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_last"))
+    limits = materialized(last, "limits")
+    limit = F.greatest(F.coalesce("_last", F.lit(minimum)), F.lit(minimum)) - SLACK
+    judged = found.join(limits, "query_id", "left").withColumn("_limit", limit)
+    return judged.filter(reach * F.col("all_idf") + F.col("best") >= F.col("_limit")).withColumn(
+        "generates", reach * F.col("up_to_idf") + F.col("best") >= F.col("_limit"))
+
+
+def bounded_scores(keys: DataFrame, index: LexicalIndex, k: int, per: int, minimum: float) -> DataFrame:
+    """Scores of the chunks that may be among the ``k`` results, from the blocks that could hold them."""
+    weighted = materialized(weighted_keys(keys, index), "weighted-keys")
+    boosts = materialized(row_boosts(keys, index), "row-boosts")
+    hits = _block_hits(readable_blocks(weighted, boosts, index, k, per, minimum))
+    body = _body_scores(hits, F.max("generates").alias("generates")).filter("generates")
+    return _with_boosts(body, boosts, index, per)
+
+
 def lexical_search(
     queries: DataFrame, index: LexicalIndex, config: RetrievalConfig = RetrievalConfig(),
     limit: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, source_id, score) for a whole query table."""
-    scored = above_minimum(lexical_scores(query_keys(queries), index), config.minimum_score)
-    ranked = topk_capped(scored, config.limit(limit), config.max_per_source)
+    k, per = config.limit(limit), config.max_per_source
+    keys = materialized(query_keys(queries), "query-keys")
+    if index.blocks is not None and k > 0:
+        scored = bounded_scores(keys, index, k, per, config.minimum_score)
+    else:
+        scored = lexical_scores(keys, index, per)
+    ranked = topk_capped(above_minimum(scored, config.minimum_score), k, per)
     return ranked.select("query_id", "rank", "chunk_id", "source_id", "score")

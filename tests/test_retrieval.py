@@ -112,7 +112,7 @@ def test_lexical_matches_naive_model(spark):
     rows = random_corpus(3)
     queries = random_queries(rows, 4, 40)
     queries += [rows[0]["title"], rows[0]["aliases"][0], "proj2"]
-    index = lexical.lexical_index(frame(spark, rows)).persist()
+    index = lexical.lexical_index(frame(spark, rows))
     got = packets(lexical.lexical_search(asked(spark, queries), index))
     assert got == expected([Corpus(rows).lexical(q) for q in queries])
 
@@ -132,18 +132,66 @@ def test_lexical_caps_ties_and_thresholds(spark):
 
 def test_lexical_parts_add_up(spark):
     rows = random_corpus(5)
-    index = lexical.lexical_index(frame(spark, rows)).persist()
+    index = lexical.lexical_index(frame(spark, rows))
     keys = lexical.query_keys(asked(spark, random_queries(rows, 6, 15))).persist()
-    parts = [lexical.bm25(keys, index).withColumnRenamed("score", "v"),
-             lexical.field_boosts(keys, index).withColumnRenamed("boost", "v"),
-             lexical.phrase_boosts(keys, index).withColumnRenamed("boost", "v"),
-             lexical.alias_coverage(keys, index).withColumn("v", F.lit(1.0))]
+    members = index.chunks.select("chunk_id", "row_id")
+    of_rows = [lexical.field_boosts(keys, index), lexical.phrase_boosts(keys, index),
+               lexical.alias_coverage(keys, index).withColumn("boost", F.lit(1.0))]
+    parts = [lexical.bm25(keys, index).withColumnRenamed("score", "v")]
+    parts += [p.join(members, "row_id").select("query_id", "chunk_id", F.col("boost").alias("v")) for p in of_rows]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    summed = union.groupBy("query_id", "chunk_id").agg(F.round(F.sum("v"), 6).alias("v"))
-    whole = lexical.lexical_scores(keys, index).select("query_id", "chunk_id", F.round("score", 6).alias("v"))
-    assert sorted(summed.collect()) == sorted(whole.collect())
+    summed = {(r[0], r[1]): round(r[2], 6) for r in union.groupBy("query_id", "chunk_id").agg(F.sum("v")).collect()}
+    scored = {(r[0], r[1]): round(r[2], 6) for r in lexical.lexical_scores(keys, index).select("query_id", "chunk_id", "score").collect()}
+    assert scored.items() <= summed.items()
+    assert {(r[0], r[1]) for r in lexical.bm25(keys, index).collect()} <= set(scored)
+
+
+@pytest.mark.parametrize("seed, per, minimum", [(21, 3, 2.5), (22, 2, 0.0), (23, 12, 0.0)])
+def test_bounded_search_reads_less_and_finds_the_same(spark, tmp_path, monkeypatch, seed, per, minimum):
+    monkeypatch.setattr(lexical, "OPENING_BLOCKS", 4)
+    rng = random.Random(seed)
+    rows = random_corpus(seed, size=600)
+    for r in rows:
+        r["text"] += " the filler words" * 2 + "".join(f" only{rng.randint(0, 9**6)}" for _ in range(rng.randint(0, 60)))
+    queries = asked(spark, random_queries(rows, seed, 30) + ["alpha beta gamma signal only1", "mirror fruit"])
+    config = RetrievalConfig(max_per_source=per, minimum_score=minimum)
+    index = lexical.lexical_index(frame(spark, rows))
+    index.write(str(tmp_path / "index"), block=4)
+    stored = lexical.LexicalIndex.read(spark, str(tmp_path / "index"))
+    assert packets(lexical.lexical_search(queries, stored, config)) == packets(lexical.lexical_search(queries, index, config))
+    keys = materialized(lexical.query_keys(queries), "keys")
+    weighted, boosts = lexical.weighted_keys(keys, stored), lexical.row_boosts(keys, stored)
+    size = F.sum(F.size("postings"))
+    read = lexical.readable_blocks(weighted, boosts, stored, 8, per, minimum).agg(size).first()[0]
+    everything = stored.blocks.join(weighted.filter("idf IS NOT NULL"), "key").agg(size).first()[0]
+    assert read <= everything
+
+
+def test_long_postings_are_not_read(spark, tmp_path):
+    texts = ["alpha beta"] * 12 + ["alpha beta " + " ".join(f"w{n}x{i}" for i in range(80)) for n in range(300)]
+    rows = [chunk(f"s{n % 4}:{n:03d}", f"s{n % 4}", t, title="x") for n, t in enumerate(texts)]
+    index, queries = lexical.lexical_index(frame(spark, rows)), ["alpha beta", "beta"]
+    index.write(str(tmp_path / "index"), block=8)
+    stored, config = lexical.LexicalIndex.read(spark, str(tmp_path / "index")), RetrievalConfig(minimum_score=0.0)
+    got = packets(lexical.lexical_search(asked(spark, queries), stored, config))
+    assert got == expected([Corpus(rows).lexical(q, minimum=0.0) for q in queries])
+    keys = materialized(lexical.query_keys(asked(spark, queries)), "keys")
+    blocks = lexical.readable_blocks(lexical.weighted_keys(keys, stored), lexical.row_boosts(keys, stored), stored, 8, 3, 0.0)
+    # Twelve short postings of each of three query terms, of 312.
+    assert blocks.agg(F.sum(F.size("postings"))).first()[0] < 60
+
+
+def test_scored_rows_are_bounded_by_hits_and_first_ids(spark):
+    rows = [chunk(f"s{n % 5}:{n:03d}", f"s{n % 5}", "alpha" if n % 50 == 0 else "filler", title="beta gamma") for n in range(400)]
+    index = lexical.lexical_index(frame(spark, rows))
+    keys = materialized(lexical.query_keys(asked(spark, ["alpha beta", "gamma"])), "keys")
+    # Eight body hits; five boosted rows for each query, three ids each.
+    assert lexical.lexical_scores(keys, index, 3).count() <= 8 + 2 * 5 * 3
+    got = packets(lexical.lexical_search(asked(spark, ["alpha beta", "gamma"]), index, RetrievalConfig(minimum_score=0.0)))
+    assert got == expected([Corpus(rows).lexical(q, minimum=0.0) for q in ["alpha beta", "gamma"]])
+    assert index.rows.count() == 5 and index.fields.filter("field = 'title'").count() == 5 * 3
 
 
 def test_topk_plan_limits_groups_before_the_shuffle(spark):

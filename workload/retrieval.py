@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from evidentia.functions import text
 from evidentia.operators import evaluate as evaluation
 from evidentia.operators import lexical, ranking, routing, sampling
-from evidentia.operators.common import materialized
+from evidentia.operators.common import materialized, scratch_path
 from evidentia.plans import search
 from workload import world
 from workload.corpus import SQL_CHUNKED, _claim_chunks, _excerpts
 from workload.registry import query
-from workload.world import SQL_CHUNKS, SQL_CLAIMS, SQL_INTENT_WORDS, SQL_QUERIES, sql_lexical, sql_query, sql_terms
+from workload.world import SQL_CHUNKS, SQL_CLAIMS, SQL_INTENT_WORDS, SQL_QUERIES, SQL_SOURCES, sql_lexical, sql_query, sql_terms
 
 _TOP = """, first_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY round(score, 9) DESC, chunk_id) AS sr FROM scored WHERE round(score, 9) > 0 AND round(score, 9) >= 2.5),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM first_ WHERE sr <= 3)
@@ -20,7 +20,7 @@ SELECT query_id, rank, chunk_id, source_id, round(score, 6) AS score FROM ranked
 
 
 def _document_index(t):
-    return lexical.lexical_index(world.document_chunks(t)).persist()
+    return lexical.lexical_index(world.document_chunks(t))
 
 
 def _rounded(results):
@@ -28,19 +28,21 @@ def _rounded(results):
 
 
 # --------------------------------------------------------------------- lexical
-@query(f"WITH {SQL_CHUNKS} SELECT field, count(*) AS n FROM (SELECT 'body' AS field, unnest({sql_terms('text')}) FROM chunks_ "
-       + " ".join(f"UNION ALL SELECT '{f}', unnest({sql_terms(e)}) FROM chunks_" for f, e in (
-           ("title", "title"), ("alias", "array_to_string(aliases, ' ')"), ("tag", "array_to_string(tags, ' ')"), ("source", "source_id")))
-       + ") GROUP BY field")
+_FIELD_EXPRESSIONS = (("title", "title"), ("alias", "array_to_string(aliases, ' ')"), ("tag", "array_to_string(tags, ' ')"), ("source", "source_id"))
+
+
+@query(f"WITH {SQL_SOURCES} " + " UNION ALL ".join(
+    f"SELECT source_id, '{f}' AS field, unnest({sql_terms(e)}) AS term FROM sources_" for f, e in _FIELD_EXPRESSIONS))
 def field_terms(t):
-    entries = lexical.field_terms(world.document_chunks(t)).filter(
-        (F.col("field") != "chunk") & ~F.col("key").startswith(lexical.PHRASE_MARK))
-    return entries.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    """Terms of every metadata row; the rows of this table are its sources."""
+    return _document_index(t).fields.filter(~F.col("key").startswith(lexical.PHRASE_MARK)).select(
+        "source_id", "field", F.col("key").alias("term"))
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT term, count(*) AS df FROM (SELECT unnest({sql_terms('text')}) AS term FROM chunks_) GROUP BY term")
 def document_frequency(t):
-    return lexical.document_frequency(lexical.field_terms(world.document_chunks(t))).withColumnRenamed("key", "term")
+    terms = lexical.described(world.document_chunks(t)).select(F.explode("body_terms").alias("key"))
+    return lexical.document_frequency(terms).withColumnRenamed("key", "term")
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT count(*) AS n, greatest(1.0, avg(greatest(1, len({sql_terms('text')})))) AS average FROM chunks_")
@@ -56,9 +58,10 @@ def bm25(t):
     return _rounded(lexical.bm25(lexical.query_keys(world.benchmark_queries(t)), _document_index(t)))
 
 
-@query(f"WITH {_PARTS} SELECT query_id, chunk_id, boost::DOUBLE AS boost FROM fb WHERE boost > 0")
+@query(f"WITH {_PARTS} SELECT DISTINCT query_id, source_id, boost::DOUBLE AS boost FROM fb JOIN chunks_ USING (chunk_id) WHERE boost > 0")
 def field_boosts(t):
-    return lexical.field_boosts(lexical.query_keys(world.benchmark_queries(t)), _document_index(t))
+    """Per metadata row, which is a source here."""
+    return lexical.field_boosts(lexical.query_keys(world.benchmark_queries(t)), _document_index(t)).drop("row_id")
 
 
 def _title_queries(t):
@@ -76,14 +79,14 @@ _TITLE_SQL = """SELECT 't' || source_id AS query_id, upper(title) AS query FROM
 UNION ALL SELECT 's' || source_id, '(' || source_id || ')' FROM sources_"""
 
 
-@query(f"WITH {sql_lexical(queries=_TITLE_SQL)} SELECT query_id, chunk_id, phrase_boost::DOUBLE AS boost FROM pb WHERE phrase_boost > 0")
+@query(f"WITH {sql_lexical(queries=_TITLE_SQL)} SELECT DISTINCT query_id, source_id, phrase_boost::DOUBLE AS boost FROM pb JOIN chunks_ USING (chunk_id) WHERE phrase_boost > 0")
 def phrase_boosts(t):
-    return lexical.phrase_boosts(lexical.query_keys(_title_queries(t)), _document_index(t))
+    return lexical.phrase_boosts(lexical.query_keys(_title_queries(t)), _document_index(t)).drop("row_id")
 
 
-@query(f"WITH {sql_lexical(queries=_TITLE_SQL)} SELECT query_id, chunk_id FROM pb WHERE covered")
+@query(f"WITH {sql_lexical(queries=_TITLE_SQL)} SELECT DISTINCT query_id, source_id FROM pb JOIN chunks_ USING (chunk_id) WHERE covered")
 def alias_coverage(t):
-    return lexical.alias_coverage(lexical.query_keys(_title_queries(t)), _document_index(t))
+    return lexical.alias_coverage(lexical.query_keys(_title_queries(t)), _document_index(t)).drop("row_id")
 
 
 @query(f"WITH {sql_lexical(queries=_TITLE_SQL)}{_TOP}")
@@ -99,10 +102,29 @@ def lexical_search(t):
 @query(f"WITH RECURSIVE {sql_lexical(SQL_CHUNKED)}{_TOP}")
 def chunked_search(t):
     """The flagship query: window the documents, index them, answer every query."""
-    index = lexical.lexical_index(_excerpts(t)).persist()
+    index = lexical.lexical_index(_excerpts(t))
     return _rounded(lexical.lexical_search(world.benchmark_queries(t), index))
 
 
+@query(f"WITH {_PARTS}{_TOP}")
+def stored_search(t):
+    """Search of an index that was written with posting blocks and read again."""
+    path = scratch_path(t.spark, "stored-index")
+    _document_index(t).write(path)
+    return _rounded(lexical.lexical_search(world.benchmark_queries(t), lexical.LexicalIndex.read(t.spark, path)))
+
+
+@query(f"WITH {_PARTS} SELECT count(*) AS hits, count(DISTINCT struct_pack(a := query_id, b := chunk_id)) <= count(*) AS bounded FROM qterms JOIN postings USING (term)")
+def search_work(t):
+    """Scored rows against body hits read and first ids of boosted rows."""
+    index, keys = _document_index(t), lexical.query_keys(world.benchmark_queries(t))
+    hits = lexical.body_hits(materialized(lexical.weighted_keys(keys, index), "weighted"), index).agg(F.count(F.lit(1)).alias("hits"))
+    rows = lexical.row_boosts(keys, index).agg(F.count(F.lit(1)).alias("rows"))
+    scored = lexical.lexical_scores(keys, index).agg(F.count(F.lit(1)).alias("scored"))
+    most = hits.select("hits").scalar() + 3 * rows.select("rows").scalar()
+    return scored.select(hits.select("hits").scalar().alias("hits"), (F.col("scored") <= most).alias("bounded"))
+
+
 @query("SELECT l_orderkey AS query_id, l_linenumber AS chunk_id, l_extendedprice AS score FROM lineitem WHERE round(l_extendedprice, 9) >= 50000")
 def score_threshold(t):
     rows = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("chunk_id"),
