@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.config import SENTINEL_CODE_POINTS
 from evidentia.functions import privacy
 from evidentia.functions.text import SPACE, nfkc, sha256_hex
-from evidentia.operators.common import bounded_broadcast, salted_join, union_all
+from evidentia.operators.common import materialized, top_per, union_all
 
 
 def privacy_findings(df: DataFrame, key: str, column: str, allow: list[str] = []) -> DataFrame:
@@ -41,34 +41,61 @@ def secret_findings(df: DataFrame, key: str, column: str, known: list[str] = [])
     return hits.select(key, sha256_hex(F.col("_value")).alias("secret_sha256")).distinct()
 
 
-GRAM = 8
-_WORD_BREAK = f"[{SPACE}]+"
+SHORT_GRAM = 6
+SKETCH_ROWS = 2
+SKETCH_SLOTS = 1 << 20
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(c, _WORD_BREAK), lambda w: w != "")
+def _pieces(c: Column) -> Column:
+    """The text cut before each word: joined again they give the text, so lengths add up to positions. Words
+    keep the white space behind them; white space at the start is a piece of its own."""
+    return F.split(c, f"(?<=[{SPACE}])(?=[^{SPACE}])")
 
 
-def _word_grams(words: Column, size: int) -> Column:
-    count = F.size(words) - size + 1
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                    lambda i: F.array_join(F.slice(words, i, F.lit(size)), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+def _word(piece: Column) -> Column:
+    return F.regexp_replace(piece, f"[{SPACE}]+$", "")
 
 
-def _character_grams(word: Column, size: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(word) - size + 1, F.lit(1))),
-        lambda i: F.substring(word, i, F.lit(size)))
+def _length_before(pieces: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda sum_, piece: sum_ + F.char_length(piece))
 
 
-def _grams_of_words(words: Column, size: int) -> Column:
-    """Anchors from every run of ``size`` characters inside one word."""
-    long_words = F.filter(F.array_distinct(words), lambda w: F.char_length(w) >= size)
-    return F.flatten(F.transform(long_words, lambda w: F.transform(
-        _character_grams(w, size), lambda g: F.concat(F.lit("c:"), g))))
+def _pair_hash(first: Column, second: Column) -> Column:
+    return F.xxhash64(F.lit("pair"), first, second)
+
+
+def _pairs(words: Column) -> Column:
+    """(at, hash) of neighbouring words by the number of the first one."""
+    count = F.size(words) - 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+        i.alias("at"), F.lit(0).alias("shift"), _pair_hash(F.get(words, i), F.get(words, i + 1)).alias("anchor")))).otherwise(
+        F.array().cast("array<struct<at:int,shift:int,anchor:bigint>>"))
+
+
+def _singles(words: Column) -> Column:
+    return F.transform(words, lambda w, i: F.struct(i.alias("at"), F.lit(0).alias("shift"), F.xxhash64(F.lit("word"), w).alias("anchor")))
+
+
+def _inside(words: Column, size: int) -> Column:
+    """(at, shift, hash) of every run of ``size`` characters inside a word."""
+    grams = lambda w, i: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.char_length(w) - size, F.lit(0))),
+        lambda g: F.struct(i.alias("at"), g.alias("shift"), F.xxhash64(F.lit("part"), F.substring(w, g + 1, F.lit(size))).alias("anchor")))
+    marked = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.char_length(x["w"]) >= size)
+    return F.flatten(F.transform(marked, lambda x: grams(x["w"], x["i"])))
+
+
+def _slot(hashed: Column, row: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(row), hashed), F.lit(SKETCH_SLOTS)).cast("int")
+
+
+def pair_sketch(texts: DataFrame, column: str) -> DataFrame:
+    """(sketch, slot, n): a frequency sketch of neighbouring words. Sketches of parts add up; a pair occurs at
+    most as often as the smallest of its slots, whatever the size of the table."""
+    words = texts.select(F.transform(_pieces(F.col(column)), _word).alias("_words"))
+    pairs = words.select(F.explode(F.transform(_pairs(F.col("_words")), lambda p: p["anchor"])).alias("_pair"))
+    slots = F.inline(F.array(*[F.struct(F.lit(r).alias("sketch"), _slot(F.col("_pair"), r).alias("slot")) for r in range(SKETCH_ROWS)]))
+    return pairs.select(slots).groupBy("sketch", "slot").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentinels_of(index: DataFrame, digests: DataFrame) -> DataFrame:
@@ -80,75 +107,84 @@ def sentinels_of(index: DataFrame, digests: DataFrame) -> DataFrame:
     ])
 
 
+def _anchored(sentinels: DataFrame, short_gram: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, length, kind, size, offset, anchor) for sentinels of up to three words, and the same with all
+    inner pairs of longer ones. ``offset`` is where the anchor starts in the sentinel."""
+    values = sentinels.filter("value <> ''").select(
+        sha256_hex(F.col("value")).alias("digest"), F.char_length("value").alias("length"), _pieces(F.col("value")).alias("_pieces"))
+    words = F.transform("_pieces", _word)
+    first = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
+    values = values.select("digest", "length", "_pieces", words.alias("_words"), first.alias("_first")).withColumn(
+        "_n", F.size("_words") - F.col("_first")).filter("_n > 0")
+    kept = ["digest", "length"]
+    long = values.filter("_n >= 4").select(
+        *kept, "_pieces", F.explode(F.filter(_pairs(F.col("_words")), lambda p: (p["at"] > F.col("_first")) & (
+            p["at"] + 1 < F.size("_words") - 1))).alias("p")).select(
+        *kept, F.lit("pair").alias("kind"), F.lit(0).alias("size"), _length_before(F.col("_pieces"), F.col("p.at")).alias("offset"),
+        F.col("p.anchor").alias("anchor"))
+    middle = F.col("_first") + 1
+    three = values.filter("_n = 3").select(
+        *kept, F.lit("word").alias("kind"), F.lit(0).alias("size"), _length_before(F.col("_pieces"), middle).alias("offset"),
+        F.xxhash64(F.lit("word"), F.get("_words", middle)).alias("anchor"))
+    marked = F.transform("_words", lambda w, i: F.struct(F.char_length(w).alias("l"), (-i).alias("before"), w.alias("w")))
+    short = values.filter("_n <= 2").withColumn("_longest", F.array_max(marked)).withColumn(
+        "size", F.least(F.col("_longest.l"), F.lit(short_gram))).select(
+        *kept, F.lit("part").alias("kind"), "size", _length_before(F.col("_pieces"), -F.col("_longest.before")).alias("offset"),
+        F.xxhash64(F.lit("part"), F.substring(F.col("_longest.w"), F.lit(1), F.col("size"))).alias("anchor"))
+    return three.unionByName(short), long
+
+
+def _rarest(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The inner pair of each sentinel that the sketch holds for rarest."""
+    slots = F.inline(F.array(*[F.struct(F.lit(r).alias("sketch"), _slot(F.col("anchor"), r).alias("slot")) for r in range(SKETCH_ROWS)]))
+    keys = ["digest", "length", "kind", "size", "offset", "anchor"]
+    judged = pairs.distinct().select(*keys, slots).join(sketch, ["sketch", "slot"], "left")
+    estimate = judged.groupBy(*keys).agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    # A pair in an empty slot occurs nowhere, and its sentinel with it.
+    return top_per(estimate, ["digest"], [F.col("n"), F.col("offset")], 1, "_r").filter("n > 0").select(*keys)
+
+
 def leak_scan(targets: DataFrame, sentinels: DataFrame, key: str, column: str,
-              short_gram: int = 6) -> DataFrame:
+              short_gram: int = SHORT_GRAM) -> DataFrame:
     """(key, sentinel_sha256) for every sentinel contained in a target.
 
-    Containment becomes an equi-join on an anchor that each containing text must
-    also hold, followed by an exact check:
+    Containment becomes an equi-join on an anchor that each containing text must also hold:
 
-    * ten words or more: the eight words after the first one. Words strictly inside
-      a sentinel are delimited inside it, so they are whole words of the target;
-    * three to nine words: the longest inner word, as a whole word;
-    * one or two words: the first ``short_gram`` characters of its longest word,
-      looked up in the words of the target that are long enough to hold it;
-    * anything shorter than ``short_gram`` is compared with each word's grams of
-      its own length.
+    * four words or more: two neighbouring words between the first and the last, of all such pairs the one that
+      is rarest in the targets by a frequency sketch. Inner words are delimited inside a sentinel, so they are
+      whole words of the target;
+    * three words: the middle one;
+    * one or two words: the first ``short_gram`` characters of the longest, looked up inside all words.
+
+    Only keys, positions, hashes and digests are joined. An anchor's position and the sentinel's length name one
+    stretch of the target, whose SHA-256 settles the case, so texts of sentinels are never moved and those of
+    targets only for candidates.
     """
-    values = (
-        sentinels.filter("value <> ''").select("value").distinct()
-        .select("value", _words(F.col("value")).alias("w"))
-        .filter(F.size("w") > 0)
-        .select("value", "w", F.size("w").alias("n"),
-                F.array_max(F.transform("w", lambda x: F.struct(F.char_length(x).alias("l"), x.alias("x")))
-                            )["x"].alias("longest"))
-    )
-    inner = F.slice("w", F.lit(2), F.greatest(F.col("n") - 2, F.lit(1)))
-    inner_longest = F.array_max(
-        F.transform(inner, lambda x: F.struct(F.char_length(x).alias("l"), x.alias("x"))))["x"]
-    anchor_length = F.least(F.char_length("longest"), F.lit(short_gram))
-    anchored = values.select(
-        "value",
-        F.when(F.col("n") >= GRAM + 2, F.concat(F.lit("g:"), F.array_join(F.slice("w", 2, GRAM), " ")))
-        .when(F.col("n") >= 3, F.concat(F.lit("w:"), inner_longest))
-        .otherwise(F.concat(F.lit("c:"), F.substring("longest", F.lit(1), anchor_length)))
-        .alias("anchor"),
-    )
-    # Which anchor kinds and gram lengths occur decides what targets explode to;
-    # the answer is a handful of small integers.
-    kinds = {
-        (r["kind"], r["size"])
-        for r in anchored.select(
-            F.substring("anchor", 1, 1).alias("kind"),
-            F.when(F.col("anchor").startswith("c:"), F.char_length("anchor") - 2).otherwise(0).alias("size"),
-        ).distinct().collect()
-    }
-    words = F.col("_words")
-    parts = []
-    if ("g", 0) in kinds:
-        parts.append(F.transform(_word_grams(words, GRAM), lambda g: F.concat(F.lit("g:"), g)))
-    if ("w", 0) in kinds:
-        parts.append(F.transform(words, lambda w: F.concat(F.lit("w:"), w)))
-    for size in sorted(size for kind, size in kinds if kind == "c"):
-        parts.append(_grams_of_words(words, size))
+    few, pairs = _anchored(sentinels, short_gram)
+    few = materialized(few.distinct(), "leak-anchors")
+    pairs = materialized(pairs, "leak-pairs")
+    # Which anchor kinds and gram lengths occur decides what targets explode to: a handful of small integers.
+    kinds = {(r.kind, r.size) for r in few.select("kind", "size").distinct().collect()}
+    words, parts = F.col("_words"), []
+    if not pairs.isEmpty():
+        sketch = materialized(pair_sketch(targets, column), "leak-sketch")
+        few = materialized(few.unionByName(_rarest(pairs, sketch)), "leak-anchors")
+        parts.append(_pairs(words))
+    if ("word", 0) in kinds:
+        parts.append(_singles(words))
+    parts += [_inside(words, size) for kind, size in sorted(kinds) if kind == "part"]
     if not parts:
         return targets.select(key, F.lit(None).cast("string").alias("sentinel_sha256")).limit(0)
-    # Only the key and an eight-byte hash per anchor leave the scan; the text is
-    # fetched again for the few candidate pairs, where equality is proven.
-    exploded = targets.select(
-        F.col(key), _words(F.col(column)).alias("_words")
-    ).select(key, F.explode(F.array_distinct(
-        F.transform(F.concat(*parts), lambda a: F.xxhash64(a)))).alias("anchor"))
-    hashed = anchored.select(F.xxhash64("anchor").alias("anchor"), "value")
-    wanted = hashed.select("anchor").distinct()
-    small = bounded_broadcast(wanted)
-    if small is not None:
-        exploded = exploded.join(small, "anchor", "left_semi")
-    pairs = salted_join(exploded, hashed, ["anchor"], F.col(key)).select(key, "value").distinct()
+    cut = targets.select(F.col(key), F.transform(_pieces(F.col(column)), _word).alias("_words"))
+    posted = cut.select(key, F.inline(F.concat(*parts)))
+    candidates = posted.join(few.select("anchor", "digest", "length", "offset"), "anchor").select(
+        key, "at", "shift", "digest", "length", "offset")
+    found = materialized(candidates, "leak-candidates")
     texts = targets.select(key, F.col(column).alias("_text"))
+    begin = _length_before(_pieces(F.col("_text")), F.col("at")) + F.col("shift") - F.col("offset")
+    stretch = F.substring(F.col("_text"), F.col("_begin") + 1, F.col("length"))
     return (
-        pairs.join(texts, key)
-        .filter(F.contains("_text", F.col("value")))
-        .select(key, sha256_hex(F.col("value")).alias("sentinel_sha256"))
-        .distinct()
+        found.join(texts, key).withColumn("_begin", begin)
+        .filter((F.col("_begin") >= 0) & (sha256_hex(stretch) == F.col("digest")))
+        .select(key, F.col("digest").alias("sentinel_sha256")).distinct()
     )
