@@ -4,12 +4,13 @@ Requests are ordered by (time, request id, visitor). Rules apply in order:
 cooldown, repeated id or full rolling window, visitor day, site day; only
 admitted requests charge state.
 
-The unit of work is one visitor on one day. A unit depends on the day before only
-through charges close to midnight, so all units are folded at once, and only
-those whose carried-in charges turn out different are folded again. Days become
-exact one after the other, which bounds the rounds; usually the second round has
-little or nothing left to do. The admitted requests, at most a day limit per
-unit, are then joined back to label every row.
+The unit of work is a piece: one visitor in ``PIECE_MS`` of one day, so a busy visitor is spread over tasks. A
+piece depends on earlier ones through the charges that are still remembered when it begins. All pieces are
+folded at once as if nothing were remembered; then the charges that survive the day limits are carried to all
+pieces they reach, however many days ahead, and only pieces whose carried charges changed are folded again.
+Where that happens twice, the rest of such a visitor's day is folded in order by one stream. Day limits need no
+fold: the first charges of a day up to its limit stand, and none after them does. Pieces become exact from the
+first one on, which bounds the rounds; usually the second changes little or nothing.
 """
 
 from __future__ import annotations
@@ -24,19 +25,18 @@ from pyspark.sql import functions as F
 from evidentia.config import AdmissionPolicy
 from evidentia.functions.text import day_number, day_reset
 from evidentia.operators.common import (
-    bounded_broadcast,
     fold_sorted,
     materialized,
     positions,
     row_violations,
-    salted_join,
     top_per,
 )
 
 DAY_MS = 86_400_000
 BLOCK_MS = 60_000
-HOT_UNIT_ROWS = 1_000_000
-_UNIT = ["visitor_key", "day"]
+PIECE_MS = 900_000  # divides a day and the time zone's offset, so a piece lies in one day
+_DAY = ["visitor_key", "day"]
+_UNIT = ["visitor_key", "day", "piece"]
 _CHARGE = "visitor_key string, day bigint, now_ms bigint, request_id string"
 
 
@@ -48,7 +48,7 @@ def check_admission_input(requests: DataFrame) -> DataFrame:
     })
 
 
-def _fold_step(policy: AdmissionPolicy):
+def _fold_step(policy: AdmissionPolicy, keys: list[str]):
     """Admitted requests of each unit. Rows arrive sorted by unit and order; only
     the state of the current unit is held."""
     cooldown, window = policy.cooldown_ms, policy.window_ms
@@ -58,25 +58,22 @@ def _fold_step(policy: AdmissionPolicy):
         unit, until, entries, count = None, None, deque(), 0
         for batch in batches:
             out = []
-            for visitor, day, now, request, carried, same_day in zip(
-                batch["visitor_key"], batch["day"], batch["now_ms"], batch["request_id"],
-                batch["carried"], batch["same_day"],
+            for key, visitor, day, now, request, carried in zip(
+                zip(*[batch[k] for k in keys]), batch["visitor_key"], batch["day"], batch["now_ms"], batch["request_id"], batch["carried"],
             ):
-                if (visitor, day) != unit:
-                    unit, until, entries, count = (visitor, day), None, deque(), 0
+                if key != unit:
+                    unit, until, entries, count = key, None, deque(), 0
                 if carried:
                     entries.append((now, request))
                     until = now + cooldown
-                    count += same_day
                     continue
-                if until is not None and now < until:
+                # More than a day's limit cannot stand.
+                if count >= day_limit or until is not None and now < until:
                     continue
                 while entries and entries[0][0] < now - window:
                     entries.popleft()
                 if len(entries) >= window_limit or any(r == request for _, r in entries):
                     continue
-                if count >= day_limit:
-                    continue
                 until = now + cooldown
                 entries.append((now, request))
                 count += 1
@@ -86,82 +83,69 @@ def _fold_step(policy: AdmissionPolicy):
     return step
 
 
-def _fold(requests: DataFrame, carried: DataFrame, policy: AdmissionPolicy) -> DataFrame:
-    rows = requests.select(*_UNIT, "now_ms", "request_id", F.lit(0).alias("carried"),
-                           F.lit(0).alias("same_day"))
-    past = carried.select(*_UNIT, "now_ms", "request_id", F.lit(1).alias("carried"),
-                          F.col("same_day").cast("int").alias("same_day"))
-    return fold_sorted(
-        rows.unionByName(past), _UNIT, ["now_ms", "request_id"], _fold_step(policy), _CHARGE)
+def _piece(now: Column) -> Column:
+    return F.floor(now / F.lit(PIECE_MS)).cast("bigint")
 
 
-def _thinned(requests: DataFrame, policy: AdmissionPolicy) -> DataFrame:
-    """Drop rows of very busy units that cannot be admitted.
+def _fold(rows: DataFrame, carried: DataFrame, policy: AdmissionPolicy, keys: list[str]) -> DataFrame:
+    marked = rows.withColumn("carried", F.lit(0)).unionByName(carried.withColumn("carried", F.lit(1)))
+    charges = fold_sorted(marked, keys, ["now_ms", "request_id"], _fold_step(policy, keys), _CHARGE)
+    return charges.withColumn("piece", _piece(F.col("now_ms")))
 
-    Within one millisecond at most ``window_limit`` requests are admitted and at
-    most as many repeat an id of the window, so the first ``2 * window_limit + 1``
-    distinct ids decide. A busy unit is thereby bounded by time, not by traffic.
-    """
-    counts = requests.groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > HOT_UNIT_ROWS).select(*_UNIT)
-    if hot.isEmpty():
-        return requests
-    marked = bounded_broadcast(hot)
-    hot = hot if marked is None else marked
-    busy = requests.join(hot, _UNIT, "left_semi").select(*requests.columns).distinct()
-    first = top_per(busy, ["visitor_key", "now_ms"], [F.col("request_id")],
-                    2 * policy.window_limit + 1, "_r").drop("_r")
-    return requests.join(hot, _UNIT, "left_anti").unionByName(first)
-
-
-def _within_site_limit(charges: DataFrame, prior: DataFrame, policy: AdmissionPolicy) -> DataFrame:
-    """Charges up to each day's site limit, in total order. Ranks are taken inside
-    minutes, so a day is not sorted in one task."""
+
+def _within_limits(charges: DataFrame, prior: DataFrame, policy: AdmissionPolicy) -> DataFrame:
+    """Charges up to each visitor's day limit and each day's site limit, in total order. Site ranks are taken
+    inside minutes, so a day is not sorted in one task."""
     marked = charges.withColumn("_old", F.lit(False)).unionByName(prior.withColumn("_old", F.lit(True)))
-    placed = positions(marked, ["day"], "now_ms", BLOCK_MS, ["request_id", "visitor_key"], "_position")
+    own = top_per(marked, _DAY, [F.col("now_ms"), F.col("request_id")], policy.visitor_day_limit, "_r").drop("_r")
+    placed = positions(own, ["day"], "now_ms", BLOCK_MS, ["request_id", "visitor_key"], "_position")
     return placed.filter((F.col("_position") < policy.site_day_limit) & ~F.col("_old")).select(
         *charges.columns)
 
 
-def _carried(charges: DataFrame, policy: AdmissionPolicy) -> DataFrame:
-    """Charges that can still matter on the next day."""
-    late = charges.filter(F.col("now_ms") >= day_reset(F.col("day")) - policy.memory_ms)
-    return late.select("visitor_key", (F.col("day") + 1).alias("day"), "now_ms", "request_id",
-                       F.lit(False).alias("same_day"))
+def _reached(charges: DataFrame, policy: AdmissionPolicy, after: int) -> DataFrame:
+    """Charges under every later piece they can still matter in; ``after`` 0 includes their own."""
+    first, last = F.col("piece") + after, _piece(F.col("now_ms") + policy.memory_ms)
+    pieces = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return charges.select("visitor_key", F.explode(pieces).alias("piece"), "now_ms", "request_id").withColumn(
+        "day", day_number(F.col("piece") * PIECE_MS))
 
 
 def admitted_requests(requests: DataFrame, policy: AdmissionPolicy,
                       prior: DataFrame | None = None) -> DataFrame:
-    """(visitor_key, day, now_ms, request_id) of the requests that are admitted.
+    """(visitor_key, day, now_ms, request_id, piece) of the requests that are admitted.
 
     ``prior`` holds charges admitted by earlier, older input.
     """
-    if policy.memory_ms > DAY_MS:
-        raise ValueError("cooldown and window must not exceed one day")
     spark = requests.sparkSession
-    rows = materialized(
-        requests.select("visitor_key", day_number(F.col("now_ms")).alias("day"), "now_ms", "request_id"),
-        "requests")
-    rows = _thinned(rows, policy)
-    units = rows.select(*_UNIT).distinct()
-    old = prior.select("visitor_key", "day", "now_ms", "request_id") if prior is not None else (
-        spark.createDataFrame([], _CHARGE))
-    fixed = old.withColumn("same_day", F.lit(True)).unionByName(_carried(old, policy)).join(
-        units, _UNIT, "left_semi")
+    rows = materialized(requests.select(
+        "visitor_key", day_number(F.col("now_ms")).alias("day"), _piece(F.col("now_ms")).alias("piece"), "now_ms", "request_id"), "requests")
+    units = materialized(rows.select(*_UNIT).distinct(), "units")
+    old = (prior.select(*_DAY, "now_ms", "request_id") if prior is not None else spark.createDataFrame([], _CHARGE)).withColumn(
+        "piece", _piece(F.col("now_ms")))
+    fixed = _reached(old, policy, 0).join(units, _UNIT, "left_semi")
     carried = materialized(fixed, "carried")
-    folded = materialized(_fold(rows, carried, policy), "charges")
+    folded = materialized(_fold(rows, carried, policy, _UNIT), "charges")
+    turn = 0
     while True:
-        within = _within_site_limit(folded, old, policy)
+        within = _within_limits(folded, old, policy)
         following = materialized(
-            _carried(within, policy).join(units, _UNIT, "left_semi").unionByName(fixed), "carried")
-        changed = following.exceptAll(carried).union(carried.exceptAll(following)).select(*_UNIT).distinct()
-        changed = materialized(changed, "changed")
+            _reached(within, policy, 1).join(units, _UNIT, "left_semi").unionByName(fixed), "carried")
+        changed = materialized(following.exceptAll(carried).union(carried.exceptAll(following)).select(*_UNIT).distinct(), "changed")
         if changed.isEmpty():
             return within
-        again = _fold(rows.join(changed, _UNIT, "left_semi"),
-                      following.join(changed, _UNIT, "left_semi"), policy)
-        folded = materialized(folded.join(changed, _UNIT, "left_anti").unionByName(again), "charges")
-        carried = following
+        if turn == 0:
+            keys, again = _UNIT, [t.join(changed, _UNIT, "left_semi") for t in (rows, following)]
+            kept = folded.join(changed, _UNIT, "left_anti")
+        else:
+            # From the first changed piece of a visitor's day on, in order.
+            since = changed.groupBy(*_DAY).agg(F.min("piece").alias("_since"))
+            keys, again = _DAY, [
+                rows.join(since, _DAY).filter("piece >= _since").drop("_since"),
+                following.join(since, _DAY).filter("piece = _since").drop("_since")]
+            kept = folded.join(since, _DAY, "left").filter("_since IS NULL OR piece < _since").drop("_since")
+        folded = materialized(kept.unionByName(_fold(*again, policy, keys)), "charges")
+        carried, turn = following, turn + 1
 
 
 def _verdict(policy: AdmissionPolicy) -> tuple[Column, Column, Column, Column]:
@@ -210,18 +194,22 @@ def admit_requests(requests: DataFrame, policy: AdmissionPolicy = AdmissionPolic
     request_id`` rows; other columns are carried along."""
     if charges is None:
         charges = materialized(admitted_requests(requests, policy, prior), "admitted")
-    known = charges.select(*_UNIT, "now_ms", "request_id")
+    known = charges.select(*_DAY, "now_ms", "request_id")
     if prior is not None:
-        known = known.unionByName(prior.select(*_UNIT, "now_ms", "request_id"))
-    relevant = known.unionByName(_carried(known, policy).drop("same_day"))
-    # At most a day limit of charges and the carried window per unit.
-    per_unit = relevant.groupBy(*_UNIT).agg(
+        known = known.unionByName(prior.select(*_DAY, "now_ms", "request_id"))
+    known = known.withColumn("piece", _piece(F.col("now_ms")))
+    today = known.select(*_DAY, "now_ms", "request_id")
+    # Charges of earlier days that are still remembered, once per day they reach.
+    before = _reached(known, policy, 1).select(*_DAY, "now_ms", "request_id").filter(
+        F.col("day") > day_number(F.col("now_ms"))).distinct()
+    # At most a day limit of charges and the carried window per visitor and day.
+    per_day = today.unionByName(before).groupBy(*_DAY).agg(
         F.collect_list(F.struct("now_ms", "request_id")).alias("charges"))
-    units = requests.select("visitor_key", day_number(F.col("now_ms")).alias("day")).distinct()
-    complete = units.join(per_unit, _UNIT, "left").withColumn("charges", F.coalesce(
-        "charges", F.array().cast("array<struct<now_ms:bigint,request_id:string>>")))
-    rows = _with_copies(requests.withColumn("day", day_number(F.col("now_ms"))))
-    joined = salted_join(rows, complete, _UNIT, F.col("request_id"))
+    placed = requests.withColumn("day", day_number(F.col("now_ms"))).withColumn("piece", _piece(F.col("now_ms")))
+    units = placed.select(*_UNIT).distinct()
+    complete = materialized(units.join(per_day, _DAY, "left").withColumn("charges", F.coalesce(
+        "charges", F.array().cast("array<struct<now_ms:bigint,request_id:string>>"))), "unit-charges")
+    joined = _with_copies(placed).join(complete, _UNIT).drop("piece")
     before, recent, admitted, verdict = _verdict(policy)
     labelled = (
         joined.withColumn("_admitted", admitted).withColumn("_before", before)
@@ -248,4 +236,4 @@ def state_sizes(charges: DataFrame, now_ms: int, policy: AdmissionPolicy = Admis
         F.col("last") + retention_ms > at).agg(F.count(F.lit(1)).alias("n")).scalar()
     return visitors.select(
         "cooldowns", "window_visitors", "window_entries",
-        alive(_UNIT).alias("visitor_day_buckets"), alive(["day"]).alias("site_day_buckets"))
+        alive(_DAY).alias("visitor_day_buckets"), alive(["day"]).alias("site_day_buckets"))

@@ -10,9 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
-BROADCAST_ROWS = 1_000_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, else one in the warehouse, which is shared too."""
@@ -99,21 +96,6 @@ def positions(df: DataFrame, keys: list[str], order: str, block: int, ties: list
     )
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The frame marked for broadcast if it is counted to hold at most ``rows``
-    narrow rows, else None: the caller then keeps to shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
-                salts: int = SALTS) -> DataFrame:
-    """Equi-join whose hot keys on the big side are spread over ``salts`` tasks;
-    the small side is repeated once per salt."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
-
-
 def fold_sorted(
     df: DataFrame,
     keys: list[str],

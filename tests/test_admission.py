@@ -100,11 +100,20 @@ def test_repeated_rows_and_earlier_charges(spark):
     assert [got[k][0] for k in sorted(got, key=lambda k: k[1])] == ["cooldown", "visitor_day"]
 
 
-def test_busy_units_are_thinned_without_changing_the_result(spark, monkeypatch):
-    rng = random.Random(5)
-    policy = AdmissionPolicy(0, 1_000, 2, 6, 20)
-    rows = {(visitor(1), T0 + rng.randint(0, 20) * 100, f"r{rng.randint(1, 40):02d}") for _ in range(300)}
-    monkeypatch.setattr(admission, "HOT_UNIT_ROWS", 10)
+@pytest.mark.parametrize("piece, policy", [
+    (500, AdmissionPolicy(0, 1_000, 2, 6, 20)), (1_000, AdmissionPolicy(700, 5_000, 3, 1_000, 1_000)), (250, AdmissionPolicy(0, 1_000, 2, 9, 13))])
+def test_a_busy_visitor_in_many_pieces(spark, monkeypatch, piece, policy):
+    monkeypatch.setattr(admission, "PIECE_MS", piece)
+    rng = random.Random(piece)
+    rows = {(visitor(rng.choice([1, 1, 1, 2])), T0 + rng.choice([0, DAY - 3_000]) + rng.randint(0, 60) * 100, f"r{rng.randint(1, 60):02d}")
+            for _ in range(300)}
+    assert run(spark, sorted(rows), policy) == naive(rows, policy)
+
+
+def test_windows_longer_than_a_day(spark):
+    policy = AdmissionPolicy(2 * DAY + 5, 3 * DAY, 2, 5, 50)
+    rng = random.Random(6)
+    rows = {(visitor(rng.randint(1, 3)), T0 + rng.randint(0, 12 * 24) * (DAY // 24), f"r{rng.randint(1, 30):02d}") for _ in range(120)}
     assert run(spark, sorted(rows), policy) == naive(rows, policy)
 
 
