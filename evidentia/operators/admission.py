@@ -4,8 +4,8 @@ Requests are ordered by (time, request id, visitor). Rules apply in order:
 cooldown, repeated id or full rolling window, visitor day, site day; only
 admitted requests charge state.
 
-The unit of work is a piece: one visitor in ``PIECE_MS`` of one day, so a busy visitor is spread over tasks. A
-piece depends on earlier ones through the charges that are still remembered when it begins. All pieces are
+The unit of work is a piece: one visitor in a part of one day, so a busy visitor is spread over tasks. Parts are
+``PIECE_MEMORIES`` times as long as charges are remembered, but no shorter than ``PIECE_MS``. A piece depends on earlier ones through the charges that are still remembered when it begins. All pieces are
 folded at once as if nothing were remembered; then the charges that survive the day limits are carried to all
 pieces they reach, however many days ahead, and only pieces whose carried charges changed are folded again.
 Where that happens twice, the rest of such a visitor's day is folded in order by one stream. Day limits need no
@@ -34,7 +34,8 @@ from evidentia.operators.common import (
 
 DAY_MS = 86_400_000
 BLOCK_MS = 60_000
-PIECE_MS = 900_000  # divides a day and the time zone's offset, so a piece lies in one day
+PIECE_MS = 900_000  # divides a day
+PIECE_MEMORIES = 8
 _DAY = ["visitor_key", "day"]
 _UNIT = ["visitor_key", "day", "piece"]
 _CHARGE = "visitor_key string, day bigint, now_ms bigint, request_id string"
@@ -83,14 +84,23 @@ def _fold_step(policy: AdmissionPolicy, keys: list[str]):
     return step
 
 
-def _piece(now: Column) -> Column:
-    return F.floor(now / F.lit(PIECE_MS)).cast("bigint")
+def _pieces_of_day(policy: AdmissionPolicy) -> int:
+    shortest = DAY_MS // PIECE_MS
+    longest = max(1, min(shortest, DAY_MS // max(1, PIECE_MEMORIES * policy.memory_ms)))
+    return next(n for n in range(longest, 0, -1) if DAY_MS % n == 0)
+
+
+def _piece(now: Column, policy: AdmissionPolicy) -> Column:
+    """Parts of local days in order, numbered over all days."""
+    n = _pieces_of_day(policy)
+    day = day_number(now)
+    return day * n + F.floor((now - day_reset(day - 1)) / F.lit(DAY_MS // n)).cast("bigint")
 
 
 def _fold(rows: DataFrame, carried: DataFrame, policy: AdmissionPolicy, keys: list[str]) -> DataFrame:
     marked = rows.withColumn("carried", F.lit(0)).unionByName(carried.withColumn("carried", F.lit(1)))
     charges = fold_sorted(marked, keys, ["now_ms", "request_id"], _fold_step(policy, keys), _CHARGE)
-    return charges.withColumn("piece", _piece(F.col("now_ms")))
+    return charges.withColumn("piece", _piece(F.col("now_ms"), policy))
 
 
 def _within_limits(charges: DataFrame, prior: DataFrame, policy: AdmissionPolicy) -> DataFrame:
@@ -105,10 +115,10 @@ def _within_limits(charges: DataFrame, prior: DataFrame, policy: AdmissionPolicy
 
 def _reached(charges: DataFrame, policy: AdmissionPolicy, after: int) -> DataFrame:
     """Charges under every later piece they can still matter in; ``after`` 0 includes their own."""
-    first, last = F.col("piece") + after, _piece(F.col("now_ms") + policy.memory_ms)
+    first, last = F.col("piece") + after, _piece(F.col("now_ms") + policy.memory_ms, policy)
     pieces = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     return charges.select("visitor_key", F.explode(pieces).alias("piece"), "now_ms", "request_id").withColumn(
-        "day", day_number(F.col("piece") * PIECE_MS))
+        "day", F.floor(F.col("piece") / _pieces_of_day(policy)).cast("bigint"))
 
 
 def admitted_requests(requests: DataFrame, policy: AdmissionPolicy,
@@ -117,21 +127,22 @@ def admitted_requests(requests: DataFrame, policy: AdmissionPolicy,
 
     ``prior`` holds charges admitted by earlier, older input.
     """
-    spark = requests.sparkSession
     rows = materialized(requests.select(
-        "visitor_key", day_number(F.col("now_ms")).alias("day"), _piece(F.col("now_ms")).alias("piece"), "now_ms", "request_id"), "requests")
+        "visitor_key", day_number(F.col("now_ms")).alias("day"), _piece(F.col("now_ms"), policy).alias("piece"), "now_ms", "request_id"), "requests")
     units = materialized(rows.select(*_UNIT).distinct(), "units")
-    old = (prior.select(*_DAY, "now_ms", "request_id") if prior is not None else spark.createDataFrame([], _CHARGE)).withColumn(
-        "piece", _piece(F.col("now_ms")))
+    old = (rows.filter(F.lit(False)) if prior is None else prior.withColumn("piece", _piece(F.col("now_ms"), policy))).select(
+        *_DAY, "now_ms", "request_id", "piece")
     fixed = _reached(old, policy, 0).join(units, _UNIT, "left_semi")
     carried = materialized(fixed, "carried")
     folded = materialized(_fold(rows, carried, policy, _UNIT), "charges")
     turn = 0
     while True:
-        within = _within_limits(folded, old, policy)
+        within = materialized(_within_limits(folded, old, policy), "admitted")
         following = materialized(
             _reached(within, policy, 1).join(units, _UNIT, "left_semi").unionByName(fixed), "carried")
-        changed = materialized(following.exceptAll(carried).union(carried.exceptAll(following)).select(*_UNIT).distinct(), "changed")
+        signed = following.withColumn("_sign", F.lit(1)).unionByName(carried.withColumn("_sign", F.lit(-1)))
+        changed = signed.groupBy(*carried.columns).agg(F.sum("_sign").alias("_sign")).filter("_sign <> 0")
+        changed = materialized(changed.select(*_UNIT).distinct(), "changed")
         if changed.isEmpty():
             return within
         if turn == 0:
@@ -193,11 +204,11 @@ def admit_requests(requests: DataFrame, policy: AdmissionPolicy = AdmissionPolic
     """Add ``allowed``, ``reason`` and ``reset_at`` to ``visitor_key, now_ms,
     request_id`` rows; other columns are carried along."""
     if charges is None:
-        charges = materialized(admitted_requests(requests, policy, prior), "admitted")
+        charges = admitted_requests(requests, policy, prior)
     known = charges.select(*_DAY, "now_ms", "request_id")
     if prior is not None:
         known = known.unionByName(prior.select(*_DAY, "now_ms", "request_id"))
-    known = known.withColumn("piece", _piece(F.col("now_ms")))
+    known = known.withColumn("piece", _piece(F.col("now_ms"), policy))
     today = known.select(*_DAY, "now_ms", "request_id")
     # Charges of earlier days that are still remembered, once per day they reach.
     before = _reached(known, policy, 1).select(*_DAY, "now_ms", "request_id").filter(
@@ -205,7 +216,7 @@ def admit_requests(requests: DataFrame, policy: AdmissionPolicy = AdmissionPolic
     # At most a day limit of charges and the carried window per visitor and day.
     per_day = today.unionByName(before).groupBy(*_DAY).agg(
         F.collect_list(F.struct("now_ms", "request_id")).alias("charges"))
-    placed = requests.withColumn("day", day_number(F.col("now_ms"))).withColumn("piece", _piece(F.col("now_ms")))
+    placed = requests.withColumn("day", day_number(F.col("now_ms"))).withColumn("piece", _piece(F.col("now_ms"), policy))
     units = placed.select(*_UNIT).distinct()
     complete = materialized(units.join(per_day, _DAY, "left").withColumn("charges", F.coalesce(
         "charges", F.array().cast("array<struct<now_ms:bigint,request_id:string>>"))), "unit-charges")

@@ -302,22 +302,20 @@ def chunk_scores(keys: DataFrame, index: LexicalIndex) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("terms"), F.max("exact").alias("exact"))
 
 
-def _with_boosts(body: DataFrame, boosts: DataFrame, index: LexicalIndex, per: int) -> DataFrame:
+def _scores(hits: DataFrame, boosts: DataFrame, index: LexicalIndex, per: int) -> DataFrame:
     """Scores of all chunks with a body hit and of the first ids of each boosted row.
 
-    A first id may also have a body hit; the larger score is the whole one.
+    First ids enter as hits without weight, so one aggregation serves both. A chunk is kept if one of its hits
+    ``generates`` it.
     """
     firsts = index.rows.select("row_id", "first_ids") if per <= FIRST_IDS else first_ids(index.chunks, per)
     bare = boosts.join(firsts, "row_id").select(
-        "query_id", F.explode(F.slice("first_ids", 1, max(per, 1))).alias("chunk_id"), "source_id", F.col("boost").alias("score"))
-    added = boosts.select("query_id", "row_id", "boost")
-    hit = body.join(added, ["query_id", "row_id"], "left").select(
+        "query_id", F.explode(F.slice("first_ids", 1, max(per, 1))).alias("chunk_id"), "row_id", "source_id",
+        F.lit(0.0).alias("weight"), F.lit(True).alias("generates"))
+    body = hits.select(*bare.columns).unionByName(bare).groupBy("query_id", "chunk_id", "row_id", "source_id").agg(
+        F.sum("weight").alias("body"), F.max("generates").alias("generates")).filter("generates")
+    return body.join(boosts.select("query_id", "row_id", "boost"), ["query_id", "row_id"], "left").select(
         "query_id", "chunk_id", "source_id", (F.col("body") + F.coalesce("boost", F.lit(0.0))).alias("score"))
-    return hit.unionByName(bare).groupBy("query_id", "chunk_id", "source_id").agg(F.max("score").alias("score"))
-
-
-def _body_scores(hits: DataFrame, *kept: Column) -> DataFrame:
-    return hits.groupBy("query_id", "chunk_id", "row_id", "source_id").agg(F.sum("weight").alias("body"), *kept)
 
 
 def lexical_scores(keys: DataFrame, index: LexicalIndex, per: int = 3) -> DataFrame:
@@ -325,7 +323,7 @@ def lexical_scores(keys: DataFrame, index: LexicalIndex, per: int = 3) -> DataFr
     each row with a boost."""
     weighted = materialized(weighted_keys(keys, index), "weighted-keys")
     boosts = materialized(row_boosts(keys, index), "row-boosts")
-    return _with_boosts(_body_scores(body_hits(weighted, index)), boosts, index, per)
+    return _scores(body_hits(weighted, index).withColumn("generates", F.lit(True)), boosts, index, per)
 
 
 def above_minimum(scored: DataFrame, minimum: float) -> DataFrame:
@@ -375,7 +373,7 @@ def readable_blocks(weighted: DataFrame, boosts: DataFrame, index: LexicalIndex,
     reach = bm25_weight(F.lit(1.0), F.col("shortest"), F.col("average"))
     opening = top_per(found.withColumn("_bound", reach * F.col("idf")), ["query_id"], [F.col("_bound").desc(), F.col("key")],
                       OPENING_BLOCKS, "_r").withColumn("generates", F.lit(True))
-    lower = _with_boosts(_body_scores(_block_hits(opening)), boosts, index, per)
+    lower = _scores(_block_hits(opening), boosts, index, per)
     last = topk_capped(above_minimum(lower, minimum), k, per).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_last"))
     limits = materialized(last, "limits")
     limit = F.greatest(F.coalesce("_last", F.lit(minimum)), F.lit(minimum)) - SLACK
@@ -388,9 +386,7 @@ def bounded_scores(keys: DataFrame, index: LexicalIndex, k: int, per: int, minim
     """Scores of the chunks that may be among the ``k`` results, from the blocks that could hold them."""
     weighted = materialized(weighted_keys(keys, index), "weighted-keys")
     boosts = materialized(row_boosts(keys, index), "row-boosts")
-    hits = _block_hits(readable_blocks(weighted, boosts, index, k, per, minimum))
-    body = _body_scores(hits, F.max("generates").alias("generates")).filter("generates")
-    return _with_boosts(body, boosts, index, per)
+    return _scores(_block_hits(readable_blocks(weighted, boosts, index, k, per, minimum)), boosts, index, per)
 
 
 def lexical_search(

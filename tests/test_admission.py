@@ -104,6 +104,7 @@ def test_repeated_rows_and_earlier_charges(spark):
     (500, AdmissionPolicy(0, 1_000, 2, 6, 20)), (1_000, AdmissionPolicy(700, 5_000, 3, 1_000, 1_000)), (250, AdmissionPolicy(0, 1_000, 2, 9, 13))])
 def test_a_busy_visitor_in_many_pieces(spark, monkeypatch, piece, policy):
     monkeypatch.setattr(admission, "PIECE_MS", piece)
+    monkeypatch.setattr(admission, "PIECE_MEMORIES", 0)
     rng = random.Random(piece)
     rows = {(visitor(rng.choice([1, 1, 1, 2])), T0 + rng.choice([0, DAY - 3_000]) + rng.randint(0, 60) * 100, f"r{rng.randint(1, 60):02d}")
             for _ in range(300)}
