@@ -91,7 +91,8 @@ class VisitorAdmission(StatefulProcessor):
             self.handle.registerTimer(min(ends))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # Everything the watermark has passed goes at once; a timer set here fires one micro-batch later.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         until = self.until.get()[0] if self.until.exists() else None
         if until is not None and until <= now:
             self.until.clear()

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "resp_id string, seq bigint, text string, markers array<string>"
+OUTPUT = "resp_id string, seq bigint, closing boolean, text string, markers array<string>"
+_COLUMNS = ["resp_id", "seq", "closing", "text", "markers"]
 _MARKER = re.compile(r"\[\[(.*?)\]\]", re.S)
 
 
@@ -33,31 +35,69 @@ def split_visible(buffer: str, final: bool) -> tuple[str, str, list[str]]:
 
 
 class CitationStripper(StatefulProcessor):
-    """Keeps the held-back text of one response between batches."""
+    """Keeps the held-back text of one response between batches, until its end or an event-time timer."""
+
+    def __init__(self, timeout_ms: int | None) -> None:
+        self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", "text string")
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "text string, seq bigint, at_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        pending = self.pending.get()[0] if self.pending.exists() else ""
-        out, closed = [], False
-        for seq, piece, final in zip(batch["seq"], batch["text"], batch["final"]):
+        # The deltas of one response in one trigger, whose input the source limits.
+        batch = sorted(
+            (row for frame in rows for row in zip(frame["seq"], frame["text"], frame["final"], frame["at_ms"])), key=lambda row: row[0])
+        pending, last, at = self.pending.get() if self.pending.exists() else ("", 0, 0)
+        out = []
+        for seq, piece, final, now in batch:
+            if pending and self.timeout_ms is not None and now > at + self.timeout_ms:
+                # The silence was long enough, though the watermark had not passed it yet.
+                out.append(self._closed(key[0], pending, last))
+                pending = ""
             visible, pending, markers = split_visible(pending + piece, bool(final))
-            out.append((key[0], seq, visible, markers))
-            closed = closed or bool(final)
-        if closed:
+            last, at = int(seq), int(now)
+            out.append((key[0], seq, False, visible, markers))
+        self._forget()
+        if pending:
+            self.pending.update((pending, last, at))
+            if self.timeout_ms is not None:
+                self.handle.registerTimer(at + self.timeout_ms)
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The response has ended without saying so: what was held back is visible text."""
+        if self.pending.exists():
+            pending, last, _ = self.pending.get()
             self.pending.clear()
-        else:
-            self.pending.update((pending,))
-        yield pd.DataFrame(out, columns=["resp_id", "seq", "text", "markers"])
+            yield pd.DataFrame([self._closed(key[0], pending, last)], columns=_COLUMNS)
+
+    @staticmethod
+    def _closed(key: str, pending: str, last: int) -> tuple:
+        visible, _, markers = split_visible(pending, True)
+        return key, last, True, visible, markers
+
+    def _forget(self) -> None:
+        self.pending.clear()
+        if self.timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
 
     def close(self) -> None:
         pass
 
 
-def strip_citation_stream(deltas: DataFrame) -> DataFrame:
+def strip_citation_stream(deltas: DataFrame, timeout_ms: int | None = None, delay: str = "1 minute") -> DataFrame:
     """Visible text per delta of ``resp_id, seq, text, final``. Concatenating the
-    rows of a response equals stripping its whole text at once."""
-    return deltas.groupBy("resp_id").transformWithStateInPandas(
-        CitationStripper(), OUTPUT, "Append", "None")
+    rows of a response equals stripping its whole text at once.
+
+    With ``timeout_ms`` the deltas need an event time ``ts``. A response that is silent for so long is closed:
+    held-back text comes out as a ``closing`` row behind the last number and its state is gone. Without it only
+    ``final`` closes.
+    """
+    if timeout_ms is None:
+        timed, mode = deltas.withColumn("at_ms", F.lit(0).cast("bigint")), "None"
+    else:
+        timed = deltas.withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", delay)
+        mode = "EventTime"
+    return timed.groupBy("resp_id").transformWithStateInPandas(CitationStripper(timeout_ms), OUTPUT, "Append", mode)

@@ -3,7 +3,7 @@ import random
 import hashlib
 
 from evidentia.config import AdmissionPolicy
-from evidentia.streaming.admission import SiteLimitedAdmission, state_rows
+from evidentia.streaming.admission import STATE_STORE, SiteLimitedAdmission, admit_request_stream, state_rows
 from tests.test_admission import DAY, T0, naive, visitor
 
 SCHEMA = "visitor_key string, now_ms bigint, request_id string"
@@ -39,3 +39,68 @@ def test_text_digests_have_no_limit(spark):
     want = {"long": "".join(t for i, _, t in rows if i == "long"), "empty": "", "two": "xé"}
     assert len(want["long"]) > 1_000_000
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def _run(stream, spark, out, name):
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/{name}-state").trigger(
+        availableNow=True).format("parquet").start(f"{out}/{name}")
+    query.awaitTermination()
+    return query, spark.read.schema(stream.schema).parquet(f"{out}/{name}").collect()
+
+
+def _source(spark, path, schema, parts):
+    """One micro-batch for each part."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_silent_responses_are_closed_by_their_timer(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from evidentia.streaming.citations import strip_citation_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    at = lambda minutes: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=minutes)
+    parts = [
+        [("a", 0, "x[[S1", False, at(0)), ("b", 0, "y[[", False, at(0)), ("c", 0, "z[", False, at(1))],
+        [("a", 1, "]]y", True, at(2)), ("c", 1, "[S2]]!", False, at(2)), ("d", 0, "end [[S", False, at(3))],
+        [("d", 1, "3]] on", False, at(20)), ("clock", 0, "", True, at(25))],
+        [("clock", 1, "", True, at(600))],
+    ]
+    stream = strip_citation_stream(_source(spark, str(tmp_path / "in"), "resp_id string, seq long, text string, final boolean, ts timestamp", parts),
+                                   timeout_ms=600_000)
+    query, rows = _run(stream, spark, str(tmp_path), "out")
+    text = {}
+    for r in sorted(rows, key=lambda r: (r.resp_id, r.seq, r.closing)):
+        text[r.resp_id] = text.get(r.resp_id, "") + r.text
+    # "d" came back only after its time was up, so its marker was text by then.
+    assert text == {"a": "xy", "b": "y[[", "c": "z!", "d": "end [[S3]] on", "clock": ""}
+    assert sum(state_rows(query).values()) == 0
+
+
+def test_visitor_state_expires(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    policy = AdmissionPolicy(3_000, 60_000, 2, 4, 100)
+    rng = random.Random(3)
+    rows = sorted({(visitor(i % 9), T0 + DAY + rng.randint(0, 90_000), f"r{i:03d}") for i in range(60)}, key=lambda r: (r[1], r[2]))
+    closing = (visitor("z"), T0 + 20 * DAY, "closing")
+    stream = admit_request_stream(_source(spark, str(tmp_path / "in"), SCHEMA, [rows[:30], rows[30:], [closing]]), policy)
+    query, got = _run(stream, spark, str(tmp_path), "out")
+    assert {(r[0], r[1], r[2]): (r["reason"], r["reset_at"]) for r in got if r[2] != "closing"} == naive(rows, policy)
+    held = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) > 20 and held[-1] <= 4
+
+
+def test_metrics_in_append_mode_count_late_rows(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from evidentia.streaming.metrics import late_rows, metrics_stream
+
+    at = lambda minutes: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=minutes)
+    row = lambda minutes: (at(minutes), "ok", 1.0, 1, 1, 1)
+    schema = "ts timestamp, status string, latency_ms double, input_tokens int, output_tokens int, retrieval_count int"
+    parts = [[row(0), row(59), row(61)], [row(200)], [row(5), row(190)], [row(600)]]
+    stream = metrics_stream(_source(spark, str(tmp_path / "in"), schema, parts), "1 hour", "10 minutes")
+    query, got = _run(stream, spark, str(tmp_path), "out")
+    assert sorted(r.requests for r in got) == [1, 2, 2] and late_rows(query) == 1

@@ -359,40 +359,66 @@ def state_sizes(t):
 
 
 # ------------------------------------------------------------------- streaming
-def _drained(stream, spark, name, mode="append"):
-    """Run a stream over everything there is and return what it wrote."""
-    path = scratch_path(spark, name)
-    schema = stream.schema
+_FILES = 2  # files a micro-batch
 
-    def write(batch, batch_id):
-        target = path if mode == "complete" else f"{path}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
 
-    run = stream.writeStream.outputMode(mode).option(
-        "checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(write).start()
+def _drained(stream, spark, name, done=None):
+    """Run a stream over everything there is, in append mode, and return what it wrote. ``done`` sees the run."""
+    path = scratch_path(spark, name)
+    run = stream.writeStream.outputMode("append").option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(
+        availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch_id={n}")).start()
     run.awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    if done is not None:
+        done(run)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
-def _event_stream(t):
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+def _arriving(rows, column, name, closing, parts=4):
+    """A stream of the rows in order of ``column`` over several micro-batches, and a last row that moves the
+    watermark past everything before it."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    width = ((high or 0) - (low or 0)) // parts + 1
+    for k in range(parts):
+        some = rows.filter((F.col(column) >= (low or 0) + k * width) & (F.col(column) < (low or 0) + (k + 1) * width))
+        some.repartition(_FILES).write.mode("append").parquet(path)
+    closing((high or 0)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
 
 
 @query(_METRICS_SQL)
 def metrics_stream(t):
-    stream = stream_metrics.metrics_stream(
-        _metrics(_event_stream(t)).withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", "1 hour")
-    return _metric_columns(_drained(stream, t.spark, "metrics", "complete"))
+    """Append mode over several files: windows come out when the watermark has passed them."""
+    rows = _metrics(t.events).withColumn("ms", event_ms())
+    last = lambda high: rows.limit(1).withColumn("ms", F.lit(high + 30 * 86_400_000)).withColumn("status", F.lit("closing"))
+    timed = _arriving(rows, "ms", "metrics-input", last).withColumn("ts", F.timestamp_millis("ms"))
+    return _metric_columns(_drained(stream_metrics.metrics_stream(timed, "6 hours", "1 hour"), t.spark, "metrics"))
+
+
+def _timed_requests(t):
+    rows = world.event_requests(t).select("visitor_key", "now_ms", "request_id")
+    last = lambda high: t.spark.range(1).select(
+        F.sha2(F.lit("closing"), 256).alias("visitor_key"), F.lit(high + 10 * 86_400_000).alias("now_ms"), F.lit("closing").alias("request_id"))
+    return _arriving(rows, "now_ms", "requests-input", last)
 
 
 @query(_VERDICTS)
 def admit_request_stream(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_admission.STATE_STORE)
-    events = _event_stream(t).select(
-        F.sha2(F.col("user_id").cast("string"), 256).alias("visitor_key"), event_ms().alias("now_ms"),
-        F.format_string("r%010d", "event_id").alias("request_id"))
-    stream = stream_admission.admit_request_stream(events, POLICY)
-    return _drained(stream, t.spark, "admission").select("request_id", "allowed", "reason")
+    stream = stream_admission.admit_request_stream(_timed_requests(t), POLICY)
+    return _drained(stream, t.spark, "admission").filter("request_id <> 'closing'").select("request_id", "allowed", "reason")
+
+
+@query("SELECT true AS expired, count(DISTINCT user_id) > 0 AS visitors FROM events")
+def admission_expiry(t):
+    """After ten silent days nothing is left of any visitor but the one whose request moved the watermark."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_admission.STATE_STORE)
+    left = []
+    stream = stream_admission.admit_request_stream(_timed_requests(t), POLICY)
+    rows = _drained(stream, t.spark, "expiry", lambda run: left.append(stream_admission.state_rows(run)))
+    # One cooldown, one window entry and one day of the closing visitor, and its timer.
+    alone = sum(left[0].values()) <= 4
+    return rows.agg(F.lit(alone).alias("expired"), (F.count_distinct("visitor_key") > 1).alias("visitors"))
 
 
 def _text_digests(pieces):
@@ -412,20 +438,23 @@ def _text_digests(pieces):
         if digest is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (current, digest.hexdigest())], ["resp_id", "digest"])
 
-    ordered = pieces.repartition("resp_id").sortWithinPartitions("resp_id", "seq").select("resp_id", "text")
+    order = [c for c in ("resp_id", "seq", "closing") if c in pieces.columns]
+    ordered = pieces.repartition("resp_id").sortWithinPartitions(*order).select("resp_id", "text")
     return ordered.mapInArrow(run, "resp_id string, digest string")
 
 
 @query(rf"""SELECT conv_id::VARCHAR AS resp_id, sha256(regexp_replace(s, '(?s)\[\[.*?\]\]', '', 'g')) AS digest FROM
 (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS s FROM ({_ANSWERS}) GROUP BY conv_id)""")
 def strip_citation_stream(t):
+    """Several micro-batches; a third of the responses never say that they end and are closed by their timers."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_admission.STATE_STORE)
     last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
     deltas = _answers(t).join(last, "conv_id").select(
-        F.col("conv_id").cast("string").alias("resp_id"), F.col("turn").alias("seq"), "text",
-        (F.col("turn") == F.col("last")).alias("final"))
-    path = scratch_path(t.spark, "deltas")
-    deltas.write.parquet(path)
-    stream = stream_citations.strip_citation_stream(t.spark.readStream.schema(deltas.schema).parquet(path))
-    pieces = _drained(stream, t.spark, "citations")
-    return _text_digests(pieces)
+        F.col("conv_id").cast("string").alias("resp_id"), F.col("turn").cast("bigint").alias("seq"), "text",
+        ((F.col("turn") == F.col("last")) & (F.col("conv_id") % 3 > 0)).alias("final"), ((F.col("turn") + 1) * 60_000).cast("bigint").alias("ms"))
+    closing = lambda high: t.spark.range(1).select(
+        F.lit("closing").alias("resp_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("text"), F.lit(True).alias("final"),
+        F.lit(high + 86_400_000).cast("bigint").alias("ms"))
+    timed = _arriving(deltas, "ms", "deltas", closing).withColumn("ts", F.timestamp_millis("ms"))
+    pieces = _drained(stream_citations.strip_citation_stream(timed, 3_600_000), t.spark, "citations")
+    return _text_digests(pieces.filter("resp_id <> 'closing'"))
