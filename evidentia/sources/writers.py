@@ -4,37 +4,101 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators.common import materialized
 
-def write_index(df: DataFrame, path: str, order: list[str]) -> None:
-    """Publish a table in canonical row order, or leave the old one in place.
 
-    Rows are range partitioned by the ordinals, so reading the files in name order
-    gives the canonical order without a single-task sort. The new directory
-    replaces the old one by renames only after the write has committed.
+class PublicationConflict(RuntimeError):
+    """Somebody else published a version in the meantime."""
+
+
+class Publication:
+    """Versions of one table below a folder, and which of them is current.
+
+    ``versions/<token>`` holds the rows, ``current/<number>`` one line with a version's name. The highest number
+    is current. A version is complete before its pointer exists, and a pointer appears by one rename that fails
+    if the number is taken; so a crash between any two steps leaves the old version or the new one, and of two
+    writers one is told. Readers resolve the pointer once and keep to that version.
     """
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    token = uuid.uuid4().hex
-    staging, retired = hadoop.Path(f"{path}.staging-{token}"), hadoop.Path(f"{path}.retired-{token}")
-    try:
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(staging.toString())
-        had_old = fs.exists(target)
-        if had_old and not fs.rename(target, retired):
-            raise OSError(f"cannot retire {path}")
-        if not fs.rename(staging, target):
-            if had_old:
-                fs.rename(retired, target)
-            raise OSError(f"cannot publish {path}")
-        if had_old:
-            fs.delete(retired, True)
-    finally:
-        if fs.exists(staging):
-            fs.delete(staging, True)
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._hadoop.Path(self.path).getFileSystem(self._conf)
+
+    def _at(self, *parts: str):
+        return self._hadoop.Path("/".join([self.path, *parts]))
+
+    def numbers(self) -> list[int]:
+        folder = self._at("current")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def folder(self, number: int | None = None) -> str:
+        """The folder of a version, by default of the current one."""
+        known = self.numbers()
+        if number is None and not known:
+            raise FileNotFoundError(f"nothing is published in {self.path}")
+        pointer = self._at("current", f"{known[-1] if number is None else number:012d}").toString()
+        return f"{self.path}/versions/{self.spark.read.text(pointer).first()[0]}"
+
+    def stage(self, rows: DataFrame, order: list[str]) -> str:
+        """Write a version in canonical order; nobody reads it yet.
+
+        Range partitioning samples its input, so the rows are stored first and computed once.
+        """
+        token = uuid.uuid4().hex
+        stored = materialized(rows, "publication")
+        stored.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(self._at("versions", token).toString())
+        return token
+
+    def point(self, token: str, number: int) -> None:
+        """Make a staged version current as ``number``, unless that number exists."""
+        draft = self._at("drafts", uuid.uuid4().hex)
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(token.encode()))
+        stream.close()
+        self._fs.mkdirs(self._at("current"))
+        context = self._hadoop.FileContext.getFileContext(draft.toUri(), self._conf)
+        no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
+        try:
+            context.rename(draft, self._at("current", f"{number:012d}"), no_overwrite)
+        except Exception as error:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(error):
+                raise PublicationConflict(f"version {number} of {self.path} exists") from error
+            raise
+
+    def retire(self, keep: int = 2) -> None:
+        """Delete all but the last ``keep`` versions, and versions without a pointer that are older than these."""
+        known = self.numbers()
+        kept = {self.folder(n).rsplit("/", 1)[-1] for n in known[-keep:]} if known else set()
+        limit = min((self._fs.getFileStatus(self._at("versions", v)).getModificationTime() for v in kept), default=0)
+        for n in known[:-keep]:
+            self._fs.delete(self._at("current", f"{n:012d}"), False)
+        for status in self._fs.listStatus(self._at("versions")) if known else []:
+            if status.getPath().getName() not in kept and status.getModificationTime() < limit:
+                self._fs.delete(status.getPath(), True)
+
+
+def write_index(df: DataFrame, path: str, order: list[str], keep: int = 2) -> int:
+    """Publish a table in canonical row order, or leave the old one in place; returns the version's number.
+
+    Reading the files of a version in name order gives the canonical order without a single-task sort.
+    """
+    target = Publication(df.sparkSession, path)
+    number = max(target.numbers(), default=0) + 1
+    target.point(target.stage(df, order), number)
+    target.retire(keep)
+    return number
+
+
+def read_index(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """One published version, by default the current one; later publications do not change it."""
+    return spark.read.parquet(Publication(spark, path).folder(number))
 
 
 def encode_event(kind: Column, data_json: Column) -> Column:

@@ -86,13 +86,67 @@ def test_fingerprint_ignores_partitioning_and_sees_changes(spark):
 
 def test_index_publication_replaces_or_keeps(spark, tmp_path):
     path = str(tmp_path / "index")
-    writers.write_index(spark.range(5), path, ["id"])
-    writers.write_index(spark.range(9), path, ["id"])
-    assert spark.read.parquet(path).count() == 9
+    assert writers.write_index(spark.range(5), path, ["id"]) == 1
+    bound = writers.read_index(spark, path)
+    assert writers.write_index(spark.range(9), path, ["id"]) == 2
+    assert writers.read_index(spark, path).count() == 9 and bound.count() == 5
     with pytest.raises(Exception):
         writers.write_index(spark.range(3).select(F.raise_error(F.lit("boom")).alias("id")), path, ["id"])
-    assert spark.read.parquet(path).count() == 9
-    assert [p.name for p in tmp_path.iterdir() if "index" in p.name] == ["index"]
+    assert writers.read_index(spark, path).count() == 9
+    for n in (12, 15):
+        writers.write_index(spark.range(n), path, ["id"])
+    assert [writers.read_index(spark, path, k).count() for k in writers.Publication(spark, path).numbers()] == [12, 15]
+
+
+@pytest.mark.parametrize("step", ["materialized", "stage", "point", "retire"])
+def test_a_crash_at_any_step_leaves_the_old_or_the_new_index(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "index")
+    writers.write_index(spark.range(5), path, ["id"])
+
+    def crash(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(writers if step == "materialized" else writers.Publication, step, crash)
+        with pytest.raises(OSError):
+            writers.write_index(spark.range(9), path, ["id"])
+    assert writers.read_index(spark, path).count() == (9 if step == "retire" else 5)
+    writers.write_index(spark.range(7), path, ["id"])
+    assert writers.read_index(spark, path).count() == 7
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    target = writers.Publication(spark, str(tmp_path / "index"))
+    first, second = (target.stage(spark.range(n), ["id"]) for n in (3, 4))
+    target.point(first, 1)
+    with pytest.raises(writers.PublicationConflict):
+        target.point(second, 1)
+    assert writers.read_index(spark, target.path).count() == 3
+    with pytest.raises(FileNotFoundError):
+        writers.read_index(spark, str(tmp_path / "nothing"))
+
+
+def test_order_header_and_ranges(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rows = [("a", None), ("a", 1), ("a", 3), ("b", 2), ("b", 2), ("c", 9)]
+    found = lambda data: spark.createDataFrame(data, "s string, n int").coalesce(1).write.mode("overwrite").parquet(path) or [
+        r.key.split("#")[1] for r in verify.check_order(spark.read.parquet(path), ["s", "n"]).collect()]
+    assert found(rows) == []
+    assert found([rows[1], rows[0], *rows[2:]]) == ["1"]
+    spark.range(1000).repartitionByRange(5, "id").sortWithinPartitions("id").write.parquet(path + "2")
+    assert verify.check_order(spark.read.parquet(path + "2"), ["id"]).count() == 0
+    spark.range(500).withColumn("id", F.col("id") % 100).coalesce(1).write.mode("overwrite").parquet(path)
+    assert verify.check_order(spark.read.parquet(path), ["id"]).count() == 4
+    meta = spark.createDataFrame([(2, {"a": "1", "b": "2"})], "version int, source_digests map<string,string>")
+    digests = spark.createDataFrame([("a", "1"), ("b", "2")], "source_id string, digest string")
+    assert verify.check_meta(meta, digests).count() == 0
+    frame = spark.range(300).withColumn("leaf", F.col("id") % 7)
+    tree = lambda df: verify.digest_tree(df, F.col("leaf"), F.sha2(F.concat_ws(":", "id", "leaf"), 256))
+    other = frame.withColumn("id", F.when(F.col("id") == 10, 17).when(F.col("id") == 17, 10).otherwise(F.col("id")))
+    assert verify.differing_leaves(tree(frame.repartition(5)), tree(frame)).count() == 0
+    assert verify.differing_leaves(tree(other), tree(frame)).count() == 0  # the same rows, in a set
+    moved = frame.withColumn("id", F.when(F.col("id") == 10, -1).otherwise(F.col("id")))
+    assert [r.key for r in verify.differing_leaves(tree(moved), tree(frame.filter("leaf < 6"))).collect()] in (["3", "6"], ["6", "3"])
 
 
 def test_file_readers(spark, tmp_path):

@@ -100,7 +100,7 @@ def test_metrics_in_append_mode_count_late_rows(spark, tmp_path):
     at = lambda minutes: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=minutes)
     row = lambda minutes: (at(minutes), "ok", 1.0, 1, 1, 1)
     schema = "ts timestamp, status string, latency_ms double, input_tokens int, output_tokens int, retrieval_count int"
-    parts = [[row(0), row(59), row(61)], [row(200)], [row(5), row(190)], [row(600)]]
+    parts = [[row(0), row(59), row(61)], [row(200)], [row(201)], [row(5), row(190)], [row(600)]]
     stream = metrics_stream(_source(spark, str(tmp_path / "in"), schema, parts), "1 hour", "10 minutes")
     query, got = _run(stream, spark, str(tmp_path), "out")
-    assert sorted(r.requests for r in got) == [1, 2, 2] and late_rows(query) == 1
+    assert sorted(r.requests for r in got) == [1, 2, 3] and late_rows(query) == 1

@@ -89,7 +89,7 @@ def write_index(t):
     path = scratch_path(t.spark, "index")
     for _ in range(2):  # the second publication replaces the first
         writers.write_index(world.document_chunks(t), path, ["source_id", "page", "id"])
-    return t.spark.read.parquet(path).select("id", "source_id", "page", F.sha2("text", 256).alias("digest"))
+    return writers.read_index(t.spark, path).select("id", "source_id", "page", F.sha2("text", 256).alias("digest"))
 
 
 @query("SELECT conv_id, turn, sha256('event: delta' || chr(10) || 'data: ' || json_object('text', text) || chr(10) || chr(10)) AS digest FROM conversations")
@@ -280,6 +280,38 @@ def verify_index(t):
     return _counts(verify.verify_index(stored, expected))
 
 
+@query("SELECT 'row_order' AS rule, count(*) AS n FROM documents WHERE doc_id % 50 = 8")
+def check_order(t):
+    """A published table whose keys are swapped at every fiftieth row."""
+    path, k = scratch_path(t.spark, "ordered"), F.col("doc_id") % 50
+    swapped = t.documents.select("doc_id", F.when(k == 7, F.col("doc_id") + 1).when(k == 8, F.col("doc_id") - 1).otherwise(
+        F.col("doc_id")).alias("key"))
+    writers.write_index(swapped, path, ["doc_id"])
+    return _counts(verify.check_order(writers.read_index(t.spark, path), ["key"]))
+
+
+@query("SELECT DISTINCT 'range_differs' AS rule, source AS key FROM documents WHERE doc_id % 97 = 0")
+def differing_ranges(t):
+    """Sources in which some text has another position than before."""
+    place = F.when(F.col("doc_id") % 97 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    tree = lambda position: verify.digest_tree(
+        t.documents, F.col("source"), F.sha2(F.concat_ws(":", position.cast("string"), F.sha2("text", 256)), 256))
+    return verify.differing_leaves(tree(place), tree(F.col("doc_id"))).select("rule", "key")
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT 'index_version' AS rule UNION ALL
+SELECT CASE WHEN n % 5 = 0 THEN 'missing_digest' WHEN n % 5 = 1 THEN 'wrong_digest' WHEN n % 5 = 2 THEN 'unexpected_digest' END
+FROM (SELECT DISTINCT s_suppkey AS n FROM supplier)) WHERE rule IS NOT NULL GROUP BY rule""")
+def check_meta(t):
+    """A header of another version, without some sources' digests, with wrong and surplus ones."""
+    n = F.col("s_suppkey") % 5
+    now = t.supplier.select(F.col("s_suppkey").cast("string").alias("source_id"), F.sha2("s_name", 256).alias("digest"), n.alias("n"))
+    written = now.filter("n <> 0").select("source_id", F.when(F.col("n") == 1, F.lit("x")).otherwise(F.col("digest")).alias("digest"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("source_id", "digest")))
+    meta = written.agg(pairs.alias("source_digests")).select(F.lit(3).alias("version"), "source_digests")
+    return _counts(verify.check_meta(meta, now.filter("n <> 2").select("source_id", "digest")))
+
+
 @query(f"""WITH RECURSIVE {SQL_CHUNKED}, c AS (SELECT source_id, count(*) AS chunks FROM chunks_ GROUP BY 1)
 SELECT source AS source_id, count(*) AS pages, count(*) FILTER (doc_id % 3 = 0) AS native, count(*) FILTER (doc_id % 3 = 1) AS ocr,
 count(*) FILTER (doc_id % 3 = 2) AS structured, 0 AS empty_visual, any_value(chunks) AS chunks FROM documents JOIN c ON source = source_id GROUP BY source""")
