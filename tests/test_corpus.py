@@ -118,14 +118,42 @@ def test_a_crash_at_any_step_leaves_the_old_or_the_new_index(spark, tmp_path, mo
 def test_of_two_writers_one_is_told(spark, tmp_path):
     target = writers.Publication(spark, str(tmp_path / "index"))
     first, second = (target.stage(spark.range(n), ["id"]) for n in (3, 4))
-    target.point(first, 1)
+    target.point([first], 1)
     with pytest.raises(writers.PublicationConflict):
-        target.point(second, 1)
+        target.point([second], 1)
     assert writers.read_index(spark, target.path).count() == 3
     with pytest.raises(FileNotFoundError):
         writers.read_index(spark, str(tmp_path / "nothing"))
 
 
+def test_rebuild_equals_a_full_build_and_writes_changed_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    table = lambda rows: spark.createDataFrame(rows, "source_id string, n int, text string")
+    before = {f"s{i}": [(f"s{i}", k, f"text {i} {k}") for k in range(3)] for i in range(200)}
+    now = {**before, "s7": [("s7", 0, "new")], "s300": [("s300", 0, "added")], "s8": before["s8"] + [("s8", 9, "more")]}
+    del now["s5"]
+    flat = lambda sources: sorted(r for rows in sources.values() for r in rows)
+    writers.write_buckets(table(flat(before)), path, ["source_id", "n"])
+    status = {"s7": "changed", "s300": "added", "s8": "changed", "s5": "removed"}
+    drift = spark.createDataFrame([(s, status.get(s, "same")) for s in {*before, *now}], "source_id string, status string")
+    built = []
+
+    def build(sources):
+        names = {r.source_id for r in sources.collect()}
+        built.append(names)
+        return table([r for s in names for r in now[s]])
+
+    assert writers.rebuild_index(drift, build, path, ["source_id", "n"]) == 2
+    assert built == [{"s7", "s300", "s8"}]
+    assert sorted(map(tuple, writers.read_index(spark, path).collect())) == flat(now)
+    assert sorted(map(tuple, writers.read_index(spark, path, 1).collect())) == flat(before)
+    target = writers.Publication(spark, path)
+    assert 1 <= len(set(target.parts(2)) - set(target.parts(1))) <= 4
+    same = drift.withColumn("status", F.lit("same"))
+    writers.rebuild_index(same, lambda sources: table([("x", 0, "x")]).limit(0), path, ["source_id", "n"])
+    assert target.parts(3) == target.parts(2)
+
+
 def test_order_header_and_ranges(spark, tmp_path):
     path = str(tmp_path / "rows")
     rows = [("a", None), ("a", 1), ("a", 3), ("b", 2), ("b", 2), ("c", 9)]

@@ -280,6 +280,21 @@ def verify_index(t):
     return _counts(verify.verify_index(stored, expected))
 
 
+@query("""SELECT doc_id, CASE WHEN kind = 2 THEN sha256(text || 'x') ELSE sha256(text) END AS digest
+FROM (SELECT doc_id, text, doc_id % 50 AS kind FROM documents) WHERE kind <> 1""")
+def rebuild_index(t):
+    """An index of one source a document, after some were added, removed and changed."""
+    kind = F.col("doc_id") % 50
+    rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), "doc_id", "text")
+    before = rows.filter(kind != 0)
+    now = rows.filter(kind != 1).withColumn("text", F.when(kind == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    path, digest = scratch_path(t.spark, "rebuilt"), F.sha2("text", 256).alias("digest")
+    writers.write_buckets(before, path, ["doc_id"])
+    drift = verify.digest_drift(before.select("source_id", digest), now.select("source_id", digest))
+    writers.rebuild_index(drift, lambda sources: now.join(sources, "source_id", "left_semi"), path, ["doc_id"])
+    return writers.read_index(t.spark, path).select("doc_id", digest)
+
+
 @query("SELECT 'row_order' AS rule, count(*) AS n FROM documents WHERE doc_id % 50 = 8")
 def check_order(t):
     """A published table whose keys are swapped at every fiftieth row."""
