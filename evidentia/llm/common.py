@@ -32,6 +32,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in either case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in used:
+            stem += "_"
+        used.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)

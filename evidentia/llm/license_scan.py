@@ -9,7 +9,7 @@ All of it is row-local: one pass over the text, no shuffle. Matching is linear i
 whose gate opens, and the sweep over detections keeps only the largest end and the distinct labels.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows are scanned one
-by one; results are one struct column, so input names cannot clash; an empty table gives an empty table.
+by one; a column with the name of the result struct is replaced, all others stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import NON_WORD, let, query, table, text_or_empty
+from evidentia.llm.common import NON_WORD, fresh, let, query, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -259,7 +259,7 @@ def scan(df: DataFrame, text: str = "text", rules: list[Signature] | None = None
     """Add a struct: n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
     rules = signatures() if rules is None else rules
     body = text_or_empty(df, text)
-    words, opened, result = "__words", "__opened", "__result"
+    words, opened, result = fresh(df, "__words", "__opened", "__result")
     keywords = sorted({g for r in rules for g in r.gates})
     df = df.withColumn(words, F.array_remove(F.split(body, NON_WORD, -1), ""))
     present = F.array_intersect(F.transform(F.array(*map(F.lit, keywords)), lambda x: x),

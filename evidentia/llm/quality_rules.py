@@ -4,8 +4,8 @@
 no shuffle, and work grows with the length of the text (sorting repeated windows: n log n).
 
 Defined results: a null text counts as empty; an empty text has zero for every count and ratio and
-fails ``n_words``; repeated rows are judged one by one; columns of the input stay as they are, and
-statistics live in one struct column, so no input name can clash with theirs; an empty table gives an
+fails ``n_words``; repeated rows are judged one by one; columns of the input stay as they are, but for
+one with the name asked for statistics or verdicts, which these replace; helper columns take names that are free; an empty table gives an
 empty table. Windows of five words are compared by a 64-bit hash inside one text.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACE, let, query, table, text_or_empty
+from evidentia.llm.common import SPACE, fresh, let, query, table, text_or_empty
 
 WINDOW = 5
 
@@ -82,7 +82,7 @@ def _repeat_words(words: Column, grams: Column) -> Column:
 def measures(df: DataFrame, text: str = "text", out: str = "measures") -> DataFrame:
     """Add a struct of text statistics. Counts are longs, shares are doubles (0 for an empty text)."""
     body = text_or_empty(df, text)
-    w, lines, grams = "__words", "__lines", "__grams"
+    w, lines, grams, counts = fresh(df, "__words", "__lines", "__grams", "__count")
     df = df.withColumn(w, F.array_remove(F.split(body, SPACE, -1), ""))
     df = df.withColumn(lines, F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size(w)
@@ -106,8 +106,8 @@ def measures(df: DataFrame, text: str = "text", out: str = "measures") -> DataFr
         "n_bullet_lines": F.size(F.filter(F.col(lines), lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•▪][\x20\x09-\x0D]"))),
         "n_ellipsis_lines": F.size(F.filter(F.col(lines), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
     }
-    df = df.withColumn("__count", F.struct(*[v.cast("long").alias(k) for k, v in count.items()]))
-    c = lambda k: F.col(f"__count.{k}")
+    df = df.withColumn(counts, F.struct(*[v.cast("long").alias(k) for k, v in count.items()]))
+    c = lambda k: F.col(counts)[k]
     ratio = {
         "mean_word_length": share(c("word_chars"), c("n_words")),
         "symbols_per_word": share(c("n_symbols"), c("n_words")),
@@ -119,7 +119,7 @@ def measures(df: DataFrame, text: str = "text", out: str = "measures") -> DataFr
         "ellipsis_line_share": share(c("n_ellipsis_lines"), c("n_lines")),
     }
     df = df.withColumn(out, F.struct(*[c(k).alias(k) for k in count], *[v.alias(k) for k, v in ratio.items()]))
-    return df.drop(w, lines, grams, "__count")
+    return df.drop(w, lines, grams, counts)
 
 
 def failed_rules(thresholds: list[Threshold], out: str = "measures") -> Column:
@@ -147,8 +147,9 @@ def passing(df: DataFrame, text: str = "text", thresholds: list[Threshold] = THR
     A plain filter on the verdict would be pushed below the projections and repeat their work for each mention;
     a row number, which the optimizer must leave where it is, keeps the filter above them.
     """
-    judged = judge(df, text, thresholds, "__measures", "__failed").withColumn("__row", F.monotonically_increasing_id())
-    return judged.filter((F.col("__row") >= 0) & (F.size("__failed") == 0)).select(*df.columns)
+    out, failed, row = fresh(df, "__measures", "__failed", "__row")
+    judged = judge(df, text, thresholds, out, failed).withColumn(row, F.monotonically_increasing_id())
+    return judged.filter((F.col(row) >= 0) & (F.size(failed) == 0)).select(*df.columns)
 
 
 @query("op9_quality_rules", sql=r"""

@@ -200,3 +200,16 @@ def test_urls_repeated_null_and_no_rules(spark):
     assert url_filters.judge_urls(frame.limit(0), twice).count() == 0
     plan = _plan(url_filters.judge_urls(frame.withColumn("n", F.lit(1)), twice))
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_helper_columns_leave_the_callers_alone(spark):
+    names = ["__words", "__lines", "__grams", "__count", "__opened", "__result", "__measures", "__failed", "__ROW"]
+    docs = spark.createDataFrame([(1, "under the mit license " + "the quick brown fox jumps over it " * 3, *range(9))],
+                                 "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    judged = quality_rules.judge(docs).first().asDict()
+    scanned = license_scan.scan(docs).first().asDict()
+    kept = quality_rules.passing(docs, thresholds=[]).collect()
+    for row in (judged, scanned, kept[0].asDict()):
+        assert [row[n] for n in names] == list(range(9))
+    assert scanned["license"].base_labels == ["mit"] and judged["measures"].n_words == 25 and len(kept) == 1
+    assert license_scan.scan(docs.limit(0)).count() == 0
