@@ -7,8 +7,8 @@ and looks random is taken for a live credential.
 
 Scale: texts are read once and never shuffled; only spans with a 16-byte digest are. Counts are folded
 per (value, owner, repository), then per (value, owner), then per value, each with partial sums before
-the shuffle, so a value held by a third of all rows is one partial row per task. The join of spans with
-their counts is an ordinary equi-join that Spark can split at hot values.
+the shuffle, so a value held by a third of all rows is one partial row per task. Counts are stored, so their
+join with the stored spans has a plain table on either side and Spark can split it at hot values.
 
 Defined results: a null or empty text has no spans; null owners and repositories count as one unnamed
 owner and repository; repeated rows are reported one by one and count as several documents of the same
@@ -122,7 +122,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", owner:
     found = materialized(find_candidates(docs, id_column, text, owner, repository), "secret-candidates")
     flat = found.filter(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans").alias("s"))
     flat = flat.select("row", "owner", "repository", "s", F.col("s.digest").alias("digest"))
-    judged = flat.join(ownership(flat), "digest").withColumn(
+    owners = materialized(ownership(flat), "secret-owners")
+    judged = flat.join(owners, "digest").withColumn(
         "class", F.when(F.col("n_owners") >= copied_owners, "copied").when(F.col("s.bits") >= live_bits, "live").otherwise("weak"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind"))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
