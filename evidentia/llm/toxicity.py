@@ -12,7 +12,7 @@ in which a model is one vector of ``features`` weights.
 
 Defined results: a null or empty text has no words and gets each model's intercept; labelled rows with a null
 in any category or without a document are not used; of repeated labels the largest values count; repeated
-documents are scored one by one; a category with one class only, or no labels at all, gets the constant
+documents are scored one by one and a text counts once an id when models are fitted; a category with one class only, or no labels at all, gets the constant
 probability of that class, 0 without labels; an empty table gives an empty table. Other input columns pass
 through; ``words`` and ``p_<category>`` are replaced.
 """
@@ -143,8 +143,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_colu
     sample = known.orderBy(F.xxhash64(id_column), id_column).limit(sample_rows)
     joined = docs.select(id_column, text).join(F.broadcast(sample), id_column)
     fold = F.pmod(F.xxhash64(text_or_empty(joined, text)), F.lit(folds)).cast("int").alias("fold")
-    got = with_features(joined, text, features).select("words", fold, id_column, *categories).limit(sample_rows).toArrow()
-    got = got.sort_by([(id_column, "ascending")]).combine_chunks()  # the same models whatever the partitions were
+    key = F.xxhash64(text_or_empty(joined, text)).alias("text_key")
+    rows = with_features(joined, text, features).select("words", fold, key, F.col(id_column).alias("id"), *categories)
+    # One row an id and text, in a total order: the same sample and models whatever the partitions were.
+    first = rows.dropDuplicates(["id", "text_key"]).orderBy(F.xxhash64("id"), "id", "text_key").limit(sample_rows)
+    got = first.toArrow().sort_by([("id", "ascending"), ("text_key", "ascending")]).combine_chunks()
     rows, fold = Rows.of(got["words"].combine_chunks()), got["fold"].to_numpy()
     chain = ClassifierChain()
     for category in categories:

@@ -190,3 +190,16 @@ def test_symbols_of_texts():
     assert (ends - np.append(0, ends[:-1])).tolist() == [7, 3, 4]
     assert s[:3].tolist() == [0, 0, 0] and s[3] != s[4] and s[5] == 0
     assert pa.array(s).type == pa.int32()
+
+
+def test_chain_does_not_depend_on_partitions_or_repeated_rows(spark):
+    from evidentia.llm import toxicity
+
+    rng = random.Random(12)
+    rows = [(i % 60, " ".join(rng.choice(["bad", "vile"] if i % 60 % 3 == 0 else ["good", "fine"]) + str(rng.randint(0, 3)) for _ in range(12)))
+            for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(3, 0)], "doc_id long, toxic int")
+    fitted = [toxicity.fit_chain(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, ["toxic"], sample_rows=100)
+              for r, n in ((rows, 1), (rows[::-1], 7), (rows + rows, 5))]
+    for chain in fitted[1:]:
+        assert (chain.models[0][1].words == fitted[0].models[0][1].words).all()
