@@ -148,24 +148,25 @@ def extract_citations(t):
     return rows.select("conv_id", "turn", F.sha2("c.text", 256).alias("digest"), F.array_join("c.source_ids", ",").alias("cited"))
 
 
-@query(f"""{_LINE_TOP}, ans AS (SELECT conv_id, turn, conv_id % 100 AS query_id, CASE WHEN turn % 3 = 0 THEN ['S1', 'S2'] ELSE ['S' || (turn % 2 + 1), 'S3'] END AS ids FROM conversations),
+@query(f"""{_LINE_TOP}, ans AS (SELECT conv_id, turn, conv_id % (SELECT count(*) FROM supplier) + 1 AS query_id, CASE WHEN turn % 3 = 0 THEN ['S1', 'S2'] ELSE ['S' || (turn % 2 + 1), 'S3'] END AS ids FROM conversations),
 x AS (SELECT conv_id, turn, query_id, unnest(ids) AS id, unnest(range(len(ids)))::INT AS ord FROM ans)
 SELECT conv_id, turn, ord, id, 'Lines · ' || chunk_id AS citation_label FROM x JOIN b ON b.query_id = x.query_id AND 'S' || b.rank = x.id WHERE rank <= 8""")
 def resolve_citations(t):
     packet = dialogue.packet_sources(lexical.topk_capped(_line_scores(t)), _line_chunks(t))
+    suppliers = t.supplier.select(F.count(F.lit(1))).scalar()
     answers = t.conversations.select(
-        F.struct("conv_id", "turn").alias("resp_id"), (F.col("conv_id") % 100).alias("query_id"),
+        F.struct("conv_id", "turn").alias("resp_id"), (F.col("conv_id") % suppliers + 1).alias("query_id"),
         F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(
             F.concat(F.lit("S"), (F.col("turn") % 2 + 1).cast("string")), F.lit("S3"))).alias("source_ids"))
     return dialogue.resolve_citations(answers, packet).select(
         "resp_id.conv_id", "resp_id.turn", "ord", "id", "citation_label")
 
 
-@query(f"""SELECT conv_id AS resp_id, n > 2000 AS too_long, n <= 2000 AS visible, CASE WHEN n <= 2000 THEN sha256(s) END AS digest
+@query(f"""SELECT conv_id AS resp_id, n > 8192 AS too_long, n <= 8192 AS visible, CASE WHEN n <= 8192 THEN sha256(s) END AS digest
 FROM (SELECT conv_id, sum(length(text)) AS n, string_agg(text, '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id)""")
 def assemble_answers(t):
     deltas = t.conversations.select(F.col("conv_id").alias("resp_id"), F.col("turn").alias("seq"), "text")
-    return dialogue.assemble_answers(deltas, limit=2000).select(
+    return dialogue.assemble_answers(deltas).select(
         "resp_id", "too_long", "visible", F.sha2("text", 256).alias("digest"))
 
 

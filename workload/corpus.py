@@ -145,10 +145,11 @@ def check_sources(t):
     return _counts(corpus.check_sources(_supplier_sources(t)))
 
 
-@query("""SELECT 'manifest_match' AS rule, count(*) AS n FROM (SELECT 's' || (o_orderkey % 60) AS p FROM orders GROUP BY p) q
+@query("""SELECT 'manifest_match' AS rule, count(*) AS n FROM (SELECT 's' || (o_orderkey % (SELECT count(*) // 2 + 10 FROM supplier)) AS p FROM orders GROUP BY p) q
 LEFT JOIN (SELECT CASE WHEN s_suppkey % 17 = 0 THEN '' ELSE 's' || (s_suppkey // 2) END AS p, count(*) AS n FROM supplier WHERE s_suppkey % 9 <> 0 GROUP BY 1) m USING (p) WHERE coalesce(n, 0) <> 1""")
 def check_project_matches(t):
-    projects = t.orders.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 60).cast("string")).alias("project_id"))
+    known = t.supplier.select(F.floor(F.count(F.lit(1)) / 2) + 10).scalar()
+    projects = t.orders.select(F.concat(F.lit("s"), (F.col("o_orderkey") % known).cast("string")).alias("project_id"))
     return _counts(corpus.check_project_matches(_supplier_sources(t), projects))
 
 
@@ -474,8 +475,8 @@ def intent_aliases(t):
 
 @query(f"""WITH {SQL_GLOSSARY}, o AS (SELECT entry, lower(canonical) || intents[1] AS owner, lower(aliases[1]) AS a, lower(canonical) AS c FROM glossary_),
 terms AS (SELECT c AS k, owner FROM o UNION SELECT a, owner FROM o)
-SELECT 'duplicate_entry' AS rule, count(*) AS n FROM (SELECT owner, a FROM o GROUP BY ALL HAVING count(*) > 1)
-UNION ALL SELECT 'conflicting_term', count(*) FROM (SELECT k FROM terms GROUP BY k HAVING count(DISTINCT owner) > 1)""")
+SELECT * FROM (SELECT 'duplicate_entry' AS rule, count(*) AS n FROM (SELECT owner, a FROM o GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'conflicting_term', count(*) FROM (SELECT k FROM terms GROUP BY k HAVING count(DISTINCT owner) > 1)) WHERE n > 0""")
 def check_glossary(t):
     return _counts(authored.check_glossary(_glossary(t)))
 

@@ -246,7 +246,8 @@ def intent_words(t: Tables) -> DataFrame:
 def customer_queries(t: Tables) -> DataFrame:
     """One question per customer, about the part with the customer's number."""
     key = F.col("c_custkey")
-    n = (key % 50).cast("string")
+    projects = t.part.select(F.floor(F.max("p_partkey") / CLAIMS_PER_PROJECT) + 1).scalar()
+    n = (key % projects).cast("string")
     kind = key % 6
     words = F.lower("c_mktsegment")
     return t.customer.join(t.part, key == F.col("p_partkey")).select(
@@ -260,8 +261,8 @@ def customer_queries(t: Tables) -> DataFrame:
 
 
 SQL_QUERIES = """queries_ AS (SELECT c_custkey AS query_id, CASE c_custkey % 6
- WHEN 0 THEN 'What is Project ' || (c_custkey % 50) || '?'
- WHEN 1 THEN 'Show the urgent ' || lower(p_type) || ' part of Line ' || (c_custkey % 50)
+ WHEN 0 THEN 'What is Project ' || (c_custkey % (SELECT max(p_partkey) // 40 + 1 FROM part)) || '?'
+ WHEN 1 THEN 'Show the urgent ' || lower(p_type) || ' part of Line ' || (c_custkey % (SELECT max(p_partkey) // 40 + 1 FROM part))
  WHEN 2 THEN 'Which project has the most ' || lower(c_mktsegment) || ' ' || p_name || '?'
  WHEN 3 THEN 'WHAT ABOUT THE ' || upper(p_name) || ' by ' || p_brand
  WHEN 4 THEN p_name || ' ' || lower(p_type)
