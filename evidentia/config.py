@@ -16,6 +16,8 @@ BODY_BYTES = 32 * 1024
 EVENT_BYTES = 64 * 1024
 STREAM_BYTES = 1024 * 1024
 OUTPUT_CODE_POINTS = 8_192
+LINE_CHARS = 4_096              # of a provider stream, as the next one
+COMPLETION_EVENT_CHARS = 8_192
 LABEL_CODE_POINTS = 1_024
 MAX_SOURCES = 8
 SENTINEL_CODE_POINTS = 80

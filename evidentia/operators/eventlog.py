@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.config import (
+    COMPLETION_EVENT_CHARS,
     EVENT_BYTES,
     LABEL_CODE_POINTS,
+    LINE_CHARS,
     MAX_SOURCES,
     OUTPUT_CODE_POINTS,
     STREAM_BYTES,
@@ -142,9 +144,10 @@ def check_events(events: DataFrame) -> DataFrame:
 EVENT_BLOCK = 8_192
 
 
-def check_protocol(events: DataFrame) -> DataFrame:
+def check_protocol(events: DataFrame, locales: DataFrame | None = None) -> DataFrame:
     """(resp_id, ok, reason): start, deltas, sources, done; an error only while
-    streaming ends the response; an answer needs visible text.
+    streaming ends the response; an answer needs visible text. With ``locales(resp_id,
+    locale)`` of the requests, a response has to start in its request's locale.
 
     The order rules are stated over first and last positions per type, which
     combine map-side; no response is collected.
@@ -155,6 +158,7 @@ def check_protocol(events: DataFrame) -> DataFrame:
     stats = placed.groupBy("resp_id").agg(
         F.max(at).alias("last"),
         first("start").alias("start"), first("start", at > 0).alias("restart"),
+        F.min(F.when((kind == "start") & (at == 0), F.get_json_object("data", "$.locale"))).alias("locale"),
         F.max(F.when(kind == "delta", at)).alias("last_delta"),
         first("sources").alias("sources"), F.count_if(kind == "sources").alias("n_sources"),
         first("done").alias("done"), F.count_if(kind == "done").alias("n_done"),
@@ -166,6 +170,9 @@ def check_protocol(events: DataFrame) -> DataFrame:
     far = F.lit(2 ** 62)
     or_far = lambda name: F.coalesce(F.col(name), far)
     started = F.coalesce(F.col("start") == 0, F.lit(False))
+    if locales is not None:
+        stats = stats.join(locales.select("resp_id", F.col("locale").alias("asked")), "resp_id", "left")
+        started = started & F.coalesce(F.col("locale") == F.col("asked"), F.lit(False))
     stopped = F.col("error").isNotNull() & (or_far("error") < or_far("restart")) & (
         or_far("error") < or_far("sources")) & (or_far("error") < or_far("done"))
     ordered = (
@@ -201,6 +208,29 @@ def check_stream_limits(bodies: DataFrame) -> DataFrame:
     ])
 
 
+def _units(c: Column) -> Column:
+    """UTF-16 code units, in which the provider's limits are stated."""
+    return F.char_length(c) + F.char_length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def check_completion_limits(bodies: DataFrame) -> DataFrame:
+    """Findings per provider response up to its end: characters of a line, of an event's data, of the output, and
+    bytes of the stream."""
+    key = F.col("resp_id")
+    lines = F.split(_unix_lines(F.col("body")), "\n", -1)
+    long_lines = bodies.filter(F.exists(lines, lambda line: _units(line) > LINE_CHARS))
+    datas = F.transform(F.split(_unix_lines(F.col("body")), "\n\n+", -1),
+                        lambda g: F.array_join(_field_values(F.split(g, "\n", -1), "data"), "\n"))
+    long_events = bodies.filter(F.exists(datas, lambda d: _units(d) > COMPLETION_EVENT_CHARS))
+    output = parse_completion_streams(bodies).filter("type = 'delta'").groupBy("resp_id").agg(
+        F.sum(F.char_length("text")).alias("n"))
+    return union_all([
+        violations(long_lines, "line_chars", key), violations(long_events, "event_chars", key),
+        violations(output.filter(F.col("n") > OUTPUT_CODE_POINTS), "output_code_points", key, F.col("n")),
+        violations(bodies.filter(F.octet_length("body") > STREAM_BYTES), "stream_bytes", key),
+    ])
+
+
 def parse_completion_streams(bodies: DataFrame) -> DataFrame:
     """Provider ``resp_id, body`` to (resp_id, seq, type, text, input_tokens,
     output_tokens, cache_hit_tokens, error).

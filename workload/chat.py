@@ -257,8 +257,8 @@ def check_events(t):
     return eventlog.check_events(_events(t)).select("rule", "key")
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE c % 8 WHEN 0 THEN 'complete' WHEN 1 THEN 'bad_start' WHEN 2 THEN 'missing_done' WHEN 3 THEN 'bad_order' WHEN 4 THEN 'no_visible_answer'
- WHEN 5 THEN 'public_error' WHEN 6 THEN 'bad_order' ELSE 'unknown_type' END AS reason FROM (SELECT DISTINCT conv_id AS c FROM conversations)) GROUP BY reason""")
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c % 8 <> 7 AND c % 11 = 5 THEN 'bad_start' ELSE CASE c % 8 WHEN 0 THEN 'complete' WHEN 1 THEN 'bad_start' WHEN 2 THEN 'missing_done' WHEN 3 THEN 'bad_order' WHEN 4 THEN 'no_visible_answer'
+ WHEN 5 THEN 'public_error' WHEN 6 THEN 'bad_order' ELSE 'unknown_type' END END AS reason FROM (SELECT DISTINCT conv_id AS c FROM conversations)) GROUP BY reason""")
 def check_protocol(t):
     """One response per conversation; the order of its events follows its number."""
     text_, blank = '{"text":"x"}', '{"text":" "}'
@@ -272,11 +272,13 @@ def check_protocol(t):
         [("start", "{}"), ("delta", text_), ("sources", "{}"), ("error", "{}")],
         [("start", "{}"), ("ping", "{}")],
     ]
+    plans = [[(kind, '{"locale":"en"}' if kind == "start" else data) for kind, data in p] for p in plans]
     options = F.array(*[F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("data")) for a, b in p]) for p in plans])
     events = t.conversations.select("conv_id").distinct().select(
         F.col("conv_id").alias("resp_id"), F.posexplode(F.get(options, (F.col("conv_id") % 8).cast("int"))).alias("seq", "e")
     ).select("resp_id", "seq", "e.type", "e.data")
-    return eventlog.check_protocol(events).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    locales = t.conversations.select(F.col("conv_id").alias("resp_id"), F.when(F.col("conv_id") % 11 == 5, "zh").otherwise("en").alias("locale")).distinct()
+    return eventlog.check_protocol(events, locales).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT rule, key FROM (SELECT 'output_code_points' AS rule, doc_id::VARCHAR AS key FROM documents WHERE length(text) > 8192 UNION ALL
@@ -292,6 +294,22 @@ def check_stream_limits(t):
         F.col("doc_id").alias("resp_id"), body.alias("body"))).select("rule", "key")
 
 
+@query("""SELECT rule, key FROM (SELECT 'output_code_points' AS rule, doc_id::VARCHAR AS key FROM documents WHERE length(text) * 3 > 8192 UNION ALL
+SELECT 'line_chars', doc_id::VARCHAR FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT 'event_chars', doc_id::VARCHAR FROM documents WHERE doc_id % 100 = 1 UNION ALL
+SELECT 'stream_bytes', doc_id::VARCHAR FROM documents WHERE doc_id % 100 = 2)""")
+def check_completion_limits(t):
+    """One provider response per document: its text three times in short events, and some oversized parts."""
+    k = F.col("doc_id") % 100
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 400).cast("int")), lambda i: F.substring(F.col("text"), i * 400 + 1, F.lit(400)))
+    event = lambda p: F.concat(F.lit('data: {"choices":[{"delta":{"content":'), F.substring(F.to_json(F.struct(p.alias("a"))), F.lit(6), F.lit(100_000)),
+                               F.lit("}]}\n\n"))
+    text_ = F.array_join(F.transform(pieces, event), "")
+    odd = (F.when(k == 0, ":" + "x" * 4_097 + "\n\n").when(k == 1, F.repeat(F.lit("data: " + " " * 4_000 + "\n"), 3))
+           .when(k == 2, F.repeat(F.lit(":" + "y" * 1_000 + "\n\n"), 1_100)).otherwise(""))
+    body = F.concat(F.repeat(text_, 3), F.lit("data: [DONE]\n\n"), odd)
+    return eventlog.check_completion_limits(t.documents.select(F.col("doc_id").alias("resp_id"), body.alias("body"))).select("rule", "key")
+
+
 @query("""WITH b AS (SELECT printf('%d-%d', conv_id, turn) AS resp_id, turn AS k, text FROM conversations)
 SELECT resp_id, type, seq, tokens, error, digest FROM (SELECT resp_id, 'delta' AS type, 0 AS seq, NULL::BIGINT AS tokens, NULL AS error, sha256(text) AS digest FROM b
 UNION ALL SELECT resp_id, 'usage', 3, k + 1, NULL, NULL FROM b WHERE k % 3 = 0 UNION ALL SELECT resp_id, 'done', 4, NULL, NULL, NULL FROM b WHERE k % 3 = 0
