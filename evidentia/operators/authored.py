@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.config import DENSITIES, INTENTS, PROVENANCES
 from evidentia.functions import privacy, text
-from evidentia.operators.common import check_unique, row_violations, union_all, violations
+from evidentia.operators.common import check_unique, materialized, row_violations, union_all, violations
 
 _STRINGS = "array<string>"
 
@@ -40,6 +40,7 @@ def flatten_dossiers(dossiers: DataFrame) -> dict[str, DataFrame]:
             F.col("e.sourceId").alias("source_id"), "e.page"),
         "sections": sections.select(
             "project_id", "intent", F.posexplode("ids").alias("section_ord", "claim_id")),
+        "section_names": dossiers.select(project, F.coalesce(F.map_keys("sectionClaims"), F.array().cast(_STRINGS)).alias("names")),
         "pages": pages.drop("claim_ids"),
         "page_claims": pages.select(
             "project_id", "page", F.posexplode("claim_ids").alias("ref_ord", "claim_id")),
@@ -180,8 +181,11 @@ def check_glossary(glossary: DataFrame) -> DataFrame:
 
 def check_dossiers(tables: dict[str, DataFrame], sources: DataFrame | None = None,
                    allow: list[str] = []) -> DataFrame:
-    """Shape, reference, backlink, uniqueness and coverage findings."""
-    t = tables
+    """Shape, reference, backlink, uniqueness and coverage findings.
+
+    The flattened tables are stored once, so the rules never unfold a dossier again.
+    """
+    t = {name: materialized(frame, f"dossier-{name}") for name, frame in tables.items()}
     claim_key = F.concat(F.col("project_id"), F.lit(":"), F.col("claim_id"))
     project = F.col("project_id")
     pages_of = t["projects"].select("project_id", "page_count")
@@ -230,7 +234,17 @@ def check_dossiers(tables: dict[str, DataFrame], sources: DataFrame | None = Non
             "invalid_provenance": ~F.coalesce(F.col("provenance").isin(*PROVENANCES), F.lit(False)),
             "public_candidate": F.col("public") & (F.col("provenance") == "candidate_contribution"),
             "invalid_intents": F.size(F.array_except("intents", intents)) > 0,
+            "blank_topic": F.exists("topics", blank),
+        }),
+        row_violations(t["projects"], project, {
+            "blank_project": blank(project) | blank(F.col("title")) | blank(F.col("one_line")),
+            "blank_alias": F.exists("aliases", blank),
+            "invalid_page_count": ~F.coalesce(F.col("page_count") >= 1, F.lit(False)),
         }),
+        violations(t["section_names"].select("project_id", F.explode(F.array_except("names", intents)).alias("name")),
+                   "unknown_section", project, F.col("name")),
+        violations(t["section_names"].select("project_id", F.explode(F.array_except(intents, "names")).alias("name")),
+                   "missing_section", project, F.col("name")),
         row_violations(t["pages"], F.concat_ws(":p", "project_id", F.col("page").cast("string")), {
             "invalid_density": ~F.coalesce(F.col("density").isin(*DENSITIES), F.lit(False)),
             "blank_page_text": blank(F.col("role")) | blank(F.col("summary")),
@@ -238,6 +252,7 @@ def check_dossiers(tables: dict[str, DataFrame], sources: DataFrame | None = Non
         row_violations(t["questions"], F.concat_ws("?", "project_id", "question"), {
             "invalid_locale": ~F.coalesce(F.col("locale").isin("zh", "en"), F.lit(False)),
             "blank_question": blank(F.col("question")),
+            "invalid_question_intents": F.size(F.array_except("intents", intents)) > 0,
         }),
         check_unique(t["claims"], *ids, rule="duplicate_claim"),
         violations(

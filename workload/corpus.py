@@ -488,6 +488,7 @@ UNION ALL SELECT 'evidence_without_backlink', count(*) FROM evidence_ WHERE part
 UNION ALL SELECT 'duplicate_question', count(*) FROM (SELECT project_id, lower(question) AS q FROM claims_ WHERE part % 3 = 0 GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT 'orphan_claim', count(*) FROM claims_ c WHERE public AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.project_id = c.project_id AND r.claim_id = c.claim_id)
 UNION ALL SELECT 'missing_overview', count(*) FROM projects_ p WHERE NOT EXISTS (SELECT 1 FROM sections_ s JOIN claims_ c USING (project_id, claim_id) WHERE s.project_id = p.project_id AND s.intent = 'overview' AND c.public)
+UNION ALL SELECT 'missing_section', 11 * (SELECT count(*) FROM projects_) - (SELECT count(*) FROM (SELECT DISTINCT project_id, intent FROM sections_))
 UNION ALL SELECT 'pages_out_of_order', 0) WHERE n > 0""")
 def check_dossiers(t):
     return _counts(authored.check_dossiers(_tables(t), world.project_sources(t)))
