@@ -82,6 +82,12 @@ def test_each_mutation_breaks_its_rule(spark):
         "private_contact": lambda d: d["claims"][1].update(text="call 13800138000"),
         "manifest_page_count": lambda d: d.update(pageCount=3),
         "owner_with_evidence": lambda d: d["claims"][1].update(evidence=[{"sourceId": "lamp", "page": 1}]),
+        "blank_project": lambda d: d.update(oneLine=" \n"),
+        "blank_alias": lambda d: d["aliases"].append(" "),
+        "blank_topic": lambda d: d["claims"][0].update(topics=["x", ""]),
+        "invalid_question_intents": lambda d: d["commonQuestions"][0].update(intents=["overview", "mood"]),
+        "unknown_section": lambda d: d["sectionClaims"].update(mood=[]),
+        "missing_section": lambda d: d["sectionClaims"].pop("form"),
     }
     dossiers, wanted = [base], {}
     sources = [("lamp", 2)]
