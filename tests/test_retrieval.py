@@ -10,6 +10,8 @@ from evidentia.operators.common import materialized
 from evidentia.plans import search
 from evidentia.schemas import CHUNKS
 from tests.naive import INTENTS, Corpus
+from workload import retrieval  # noqa: F401  (registers its queries)
+from workload.registry import QUERIES
 
 
 def chunk(id, source="s1", text="body", kind="source-excerpt", project=None, **extra):
@@ -295,3 +297,24 @@ def test_evaluation(spark):
         ("none", "expect_none"): True, ("some", "expect_none"): False}
     counts = {r["check"]: (r["passed"], r["failed"]) for r in ev.pass_counts(ev.evaluate(results, cases)).collect()}
     assert counts["expect_none"] == (1, 1)
+
+
+@pytest.mark.parametrize("name", ["field_terms", "field_boosts", "phrase_boosts", "alias_coverage"])
+def test_metadata_queries_return_every_chunk(spark, tmp_path, name):
+    """Three documents of a source are three chunks with its terms and boosts."""
+    documents = [(20 * n, f"text {n} on the thin tag", f"src{n % 2}") for n in range(6)]
+    spark.createDataFrame(documents, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "collection src0"), (2, "thin shelf")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "field_terms":
+        assert {r.field: r.n for r in rows} == {"body": 36, "title": 12, "alias": 24, "tag": 30, "source": 6}
+        return
+    found = {}
+    for r in rows:
+        found.setdefault(r.query_id, []).append(r.chunk_id)
+    of = lambda source: [f"src{source}:p{n + 1}:c0" for n in range(source, 6, 2)]
+    expected = {
+        "field_boosts": {1: of(0) + of(1), 2: of(0) + of(1)},
+        "phrase_boosts": {f"{kind}src{s}": of(s) for s in (0, 1) for kind in "tas"},
+        "alias_coverage": {f"{kind}src{s}": of(s) for s in (0, 1) for kind in "as"}}[name]
+    assert {q: sorted(c) for q, c in found.items()} == {q: sorted(c) for q, c in expected.items()}
