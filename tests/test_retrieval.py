@@ -299,6 +299,30 @@ def test_evaluation(spark):
     assert counts["expect_none"] == (1, 1)
 
 
+def test_structured_pairs_are_narrow_and_added_up_without_a_sort(spark):
+    rows = random_corpus(31)
+    index = search.search_index(frame(spark, rows), intent_frame(spark), F.col("position"))
+    queries = asked(spark, random_queries(rows, 32, 20))
+    numbered = ranking.numbered_facts(index.facts)
+    pairs = ranking.structured_pairs(queries, routing.route_queries(queries, index.routing), numbered, index.lexical)
+    assert pairs.columns == ["query_id", "chunk_number", "score"] and pairs.count() > 0
+    assert pairs.count() == pairs.select("query_id", "chunk_number").distinct().count()
+    plan = pairs._jdf.queryExecution().sparkPlan().toString().splitlines()
+    summed = [line for line in plan if "sum(weight" in line and "chunk_number" in line]
+    assert summed and all("HashAggregate" in line for line in summed) and not any("max_by" in line for line in plan)
+
+
+def test_leading_sources_keep_the_shortlist(spark):
+    rng = random.Random(33)
+    rows = [(q, f"c{n:03d}", f"s{rng.randint(0, 9)}", rng.choice([None, "a", "b"]), rng.choice([None, 1, 2]), rng.random() < .05,
+             float(rng.randint(1, 6))) for q in range(4) for n in range(120)]
+    frame_ = spark.createDataFrame(rows, "query_id int, chunk_id string, source_id string, intent string, page int, is_overview boolean, score double")
+    kept = ranking.leading_sources(frame_, 3)
+    assert kept.count() < len(rows)
+    some = lambda f: sorted(map(tuple, ranking.shortlist(f, ["query_id"], ranking._by_score(), 3).collect()), key=repr)
+    assert some(kept) == some(frame_)
+
+
 @pytest.mark.parametrize("name", ["field_terms", "field_boosts", "phrase_boosts", "alias_coverage"])
 def test_metadata_queries_return_every_chunk(spark, tmp_path, name):
     """Three documents of a source are three chunks with its terms and boosts."""
