@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "resp_id string, seq bigint, closing boolean, text string, markers array<string>"
-_COLUMNS = ["resp_id", "seq", "closing", "text", "markers"]
+_PIECE = Row("resp_id", "seq", "closing", "text", "markers")
 _MARKER = re.compile(r"\[\[(.*?)\]\]", re.S)
 
 
@@ -44,12 +43,12 @@ class CitationStripper(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", "text string, seq bigint, at_ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # The deltas of one response in one trigger, whose input the source limits.
-        batch = sorted(
-            (row for frame in rows for row in zip(frame["seq"], frame["text"], frame["final"], frame["at_ms"])), key=lambda row: row[0])
-        pending, last, at = self.pending.get() if self.pending.exists() else ("", 0, 0)
-        out = []
+        batch = sorted(((row.seq, row.text, row.final, row.at_ms) for row in rows), key=lambda row: row[0])
+        held = self.pending.get()
+        pending, last, at = held or ("", 0, 0)
+        before, out = at, []
         for seq, piece, final, now in batch:
             if pending and self.timeout_ms is not None and now > at + self.timeout_ms:
                 # The silence was long enough, though the watermark had not passed it yet.
@@ -57,31 +56,29 @@ class CitationStripper(StatefulProcessor):
                 pending = ""
             visible, pending, markers = split_visible(pending + piece, bool(final))
             last, at = int(seq), int(now)
-            out.append((key[0], seq, False, visible, markers))
-        self._forget()
+            out.append(_PIECE(key[0], seq, False, visible, markers))
+        # Text is held exactly while a timer waits, so a response without any costs no further call of the state store.
+        if held and self.timeout_ms is not None and not (pending and before == at):
+            self.handle.deleteTimer(before + self.timeout_ms)
         if pending:
             self.pending.update((pending, last, at))
-            if self.timeout_ms is not None:
+            if self.timeout_ms is not None and not (held and before == at):
                 self.handle.registerTimer(at + self.timeout_ms)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        elif held:
+            self.pending.clear()
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The response has ended without saying so: what was held back is visible text."""
-        if self.pending.exists():
-            pending, last, _ = self.pending.get()
+        held = self.pending.get()
+        if held:
             self.pending.clear()
-            yield pd.DataFrame([self._closed(key[0], pending, last)], columns=_COLUMNS)
+            yield self._closed(key[0], held[0], held[1])
 
     @staticmethod
-    def _closed(key: str, pending: str, last: int) -> tuple:
+    def _closed(key: str, pending: str, last: int) -> Row:
         visible, _, markers = split_visible(pending, True)
-        return key, last, True, visible, markers
-
-    def _forget(self) -> None:
-        self.pending.clear()
-        if self.timeout_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+        return _PIECE(key, last, True, visible, markers)
 
     def close(self) -> None:
         pass
@@ -100,4 +97,4 @@ def strip_citation_stream(deltas: DataFrame, timeout_ms: int | None = None, dela
     else:
         timed = deltas.withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", delay)
         mode = "EventTime"
-    return timed.groupBy("resp_id").transformWithStateInPandas(CitationStripper(timeout_ms), OUTPUT, "Append", mode)
+    return timed.groupBy("resp_id").transformWithState(CitationStripper(timeout_ms), OUTPUT, "Append", mode)

@@ -104,3 +104,87 @@ def test_metrics_in_append_mode_count_late_rows(spark, tmp_path):
     stream = metrics_stream(_source(spark, str(tmp_path / "in"), schema, parts), "1 hour", "10 minutes")
     query, got = _run(stream, spark, str(tmp_path), "out")
     assert sorted(r.requests for r in got) == [1, 2, 3] and late_rows(query) == 1
+
+
+class _Store:
+    """A state handle of one key in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.state = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        store = self
+
+        class Value:
+            def get(self):
+                store.calls += 1
+                return store.state.get(name)
+
+            def update(self, row):
+                store.calls += 1
+                store.state[name] = row
+
+            def clear(self):
+                store.calls += 1
+                store.state.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Times:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_calls_of_the_state_store_do_not_grow_with_charges():
+    from pyspark.sql import Row
+
+    from evidentia.streaming.admission import VisitorAdmission
+
+    policy = AdmissionPolicy(10, DAY, 1_000, 1_000, 10 ** 9)
+    processor, store = VisitorAdmission(policy), _Store()
+    processor.init(store)
+    allowed, worst = 0, 0
+    for batch in range(5):
+        rows = [Row(now_ms=T0 + DAY + batch * 10_000 + 20 * k, request_id=f"r{batch}-{k}") for k in range(100)]
+        before = store.calls
+        allowed += sum(r.allowed for r in processor.handleInputRows((visitor(1),), iter(rows[::-1]), None))
+        worst = max(worst, store.calls - before)
+        assert len(store.timers) == 1
+    assert allowed == 500 and worst <= 8
+    while store.timers:  # a fired timer is gone; the last one leaves nothing
+        at = store.timers.pop()
+        assert list(processor.handleExpiredTimer((visitor(1),), _Times(at), _Times(at))) == []
+    assert store.state == {}
+
+
+def test_a_response_without_held_text_asks_the_store_once():
+    from pyspark.sql import Row
+
+    from evidentia.streaming.citations import CitationStripper
+
+    row = lambda seq, text, final, at: Row(seq=seq, text=text, final=final, at_ms=at)
+    processor, store = CitationStripper(1_000), _Store()
+    processor.init(store)
+    run = lambda *rows: [(r.seq, r.text) for r in processor.handleInputRows(("a",), iter(rows), None)]
+    assert run(row(1, "b[[S1]]", False, 5), row(0, "a", False, 4)) == [(0, "a"), (1, "b")]
+    assert store.calls == 1
+    assert run(row(2, "c[[", False, 10)) == [(2, "c")] and store.timers == {1_010}
+    assert run(row(3, "S2]]d", False, 20)) == [(3, "d")] and store.timers == set() and store.state == {}
+    assert run(row(4, "e[", False, 30)) == [(4, "e")] and store.timers == {1_030}
+    store.timers.clear()
+    assert [(r.seq, r.closing, r.text) for r in processor.handleExpiredTimer(("a",), _Times(1_030), _Times(1_030))] == [(4, True, "[")]
+    assert store.state == {}
