@@ -36,6 +36,18 @@ def test_windows_without_a_boundary_are_reported(spark):
             ChunkingConfig(size, overlap)
 
 
+def test_windows_are_made_without_python(spark):
+    frame = spark.createDataFrame([(1, "abcd efghij klm \U0001F600\U0001F600 nopq"), (2, ""), (3, None), (4, "x")], "page int, text string")
+    chunks = corpus.chunk_pages(frame, ChunkingConfig(8, 3))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    # Only the normal form of characters it could change leaves the JVM.
+    assert "split(" not in plan and plan.count("ArrowEvalPython") == 1
+    got = [tuple(r) for r in chunks.orderBy("page", "chunk_index").collect()]
+    whole = frame.first()["text"]
+    assert all(whole[start:start + len(value)] == value for page, _, start, value in got if page == 1)
+    assert got[-1] == (4, 0, 0, "x") and not [r for r in got if r[0] in (2, 3)]
+
+
 def test_audit_accepts_windows_and_rejects_mutations(spark):
     rng = random.Random(2)
     body = "".join(rng.choice("abcdefghij ") for _ in range(2_400))
