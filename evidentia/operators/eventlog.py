@@ -217,17 +217,20 @@ def check_completion_limits(bodies: DataFrame) -> DataFrame:
     """Findings per provider response up to its end: characters of a line, of an event's data, of the output, and
     bytes of the stream."""
     key = F.col("resp_id")
-    lines = F.split(_unix_lines(F.col("body")), "\n", -1)
-    long_lines = bodies.filter(F.exists(lines, lambda line: _units(line) > LINE_CHARS))
-    datas = F.transform(F.split(_unix_lines(F.col("body")), "\n\n+", -1),
-                        lambda g: F.array_join(_field_values(F.split(g, "\n", -1), "data"), "\n"))
-    long_events = bodies.filter(F.exists(datas, lambda d: _units(d) > COMPLETION_EVENT_CHARS))
+    body = _unix_lines(F.col("body"))
+    # A text has no more units than bytes, so few lines and groups are looked into; values are shorter than their group.
+    long_line = F.exists(F.split(body, "\n", -1), lambda line: F.when(
+        F.octet_length(line) > LINE_CHARS, _units(line) > LINE_CHARS).otherwise(False))
+    long_event = F.exists(F.split(body, "\n\n+", -1), lambda g: F.when(
+        F.octet_length(g) > COMPLETION_EVENT_CHARS,
+        _units(F.array_join(_field_values(F.split(g, "\n", -1), "data"), "\n")) > COMPLETION_EVENT_CHARS).otherwise(False))
     output = parse_completion_streams(bodies).filter("type = 'delta'").groupBy("resp_id").agg(
         F.sum(F.char_length("text")).alias("n"))
+    # One pass for the rules of whole bodies.
     return union_all([
-        violations(long_lines, "line_chars", key), violations(long_events, "event_chars", key),
+        row_violations(bodies, key, {
+            "line_chars": long_line, "event_chars": long_event, "stream_bytes": F.octet_length("body") > STREAM_BYTES}),
         violations(output.filter(F.col("n") > OUTPUT_CODE_POINTS), "output_code_points", key, F.col("n")),
-        violations(bodies.filter(F.octet_length("body") > STREAM_BYTES), "stream_bytes", key),
     ])
 
 
@@ -237,64 +240,77 @@ def parse_completion_streams(bodies: DataFrame) -> DataFrame:
 
     Events end at ``[DONE]``; the last usage is reported once, right before it.
     """
-    groups = F.split(_unix_lines(F.col("body")), "\n\n+", -1)
-    datas = F.transform(groups, lambda g: F.array_join(_field_values(F.split(g, "\n", -1), "data"), "\n"))
-    held = F.filter(F.transform(F.zip_with(groups, datas, lambda g, d: F.struct(
-        g.rlike("(?m)^data(:|$)").alias("has"), d.alias("d"))), lambda x: x), lambda x: x["has"])
-    done_at = F.array_position(F.transform("events", lambda e: text.js_trim(e["d"]) == "[DONE]"), F.lit(True))
-    rows = bodies.select("resp_id", held.alias("events"))
-    rows = rows.withColumn("done_at", done_at)
+    datas = F.transform(
+        F.filter(F.split(_unix_lines(F.col("body")), "\n\n+", -1), lambda g: F.when(
+            g.contains("data"), g.rlike("(?m)^data(:|$)")).otherwise(False)),
+        lambda g: F.when(~g.contains("\n") & g.startswith("data: "), F.substring(g, F.lit(7), F.char_length(g))).otherwise(
+            F.array_join(_field_values(F.split(g, "\n", -1), "data"), "\n")))
+    done_at = F.array_position(F.transform("events", lambda d: F.when(
+        d.contains("[DONE]"), text.js_trim(d) == "[DONE]").otherwise(False)), F.lit(True))
+    rows = bodies.select("resp_id", datas.alias("events")).withColumn("done_at", done_at)
     live = F.when(F.col("done_at") > 0, F.slice("events", F.lit(1), F.greatest(F.col("done_at").cast("int") - 1, F.lit(0)))
                   ).otherwise(F.col("events"))
 
-    def describe(e: Column) -> Column:
-        d = e["d"]
-        shape = F.schema_of_variant(F.try_parse_json(d))
-        content = F.get_json_object(d, "$.choices[0].delta.content")
-        usage = F.get_json_object(d, "$.usage")
-        count = lambda name: F.get_json_object(d, f"$.usage.{name}")
-        # The JSON type at a path, VOID for a null and empty where there is nothing.
-        kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(d), path, "variant")), F.lit(""))
-        number = lambda name: kind(f"$.usage.{name}").rlike(f"^{_NUMBER}$") & _safe_integer(count(name))
-        bad_choice = (kind("$.choices") != "") & (
-            ~kind("$.choices").startswith("ARRAY")
-            | ((kind("$.choices[0]") != "") & ~kind("$.choices[0].delta").startswith("OBJECT"))
-            | ~kind("$.choices[0].delta.content").isin("", "VOID", "STRING"))
-        bad_usage = usage.isNotNull() & (
-            ~number("prompt_tokens") | ~number("completion_tokens")
-            | ((kind("$.usage.prompt_cache_hit_tokens") != "") & ~number("prompt_cache_hit_tokens")))
-        bad = shape.isNull() | ~shape.startswith("OBJECT") | bad_choice | bad_usage
-        return F.struct(
-            F.coalesce(bad, F.lit(True)).alias("bad"),
-            F.when(content != "", content).alias("text"),
-            F.when(usage.isNotNull() & ~bad_usage, F.struct(
-                count("prompt_tokens").cast("double").cast("bigint").alias("i"),
-                count("completion_tokens").cast("double").cast("bigint").alias("o"),
-                count("prompt_cache_hit_tokens").cast("double").cast("bigint").alias("c"))).alias("usage"))
-
-    described = rows.select("resp_id", "done_at", F.transform(live, describe).alias("e"))
-    described = described.withColumn("usage", F.try_element_at(
-        F.filter(F.transform("e", lambda x: x["usage"]), lambda u: u.isNotNull()), F.lit(-1)))
+    count = lambda d, name: F.get_json_object(d, f"$.usage.{name}")
+    # The JSON type at a path, VOID for a null and empty where there is nothing.
+    kind = lambda v, path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
+
+    def bad_usage(d: Column, v: Column) -> Column:
+        number = lambda name: kind(v, f"$.usage.{name}").rlike(f"^{_NUMBER}$") & _safe_integer(count(d, name))
+        return (~number("prompt_tokens") | ~number("completion_tokens")
+                | ((kind(v, "$.usage.prompt_cache_hit_tokens") != "") & ~number("prompt_cache_hit_tokens")))
+
+    def usage_of(d: Column) -> Column:
+        """The usage of an event, null where it has none. A name may be written with escapes."""
+        number = lambda name: count(d, name).cast("double").cast("bigint")
+        return F.when(d.contains("usage") | d.contains("\\u"), F.when(
+            F.get_json_object(d, "$.usage").isNotNull() & ~bad_usage(d, F.try_parse_json(d)), F.struct(
+                number("prompt_tokens").alias("i"), number("completion_tokens").alias("o"),
+                number("prompt_cache_hit_tokens").alias("c"))))
+
     nothing = {"t": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")}
 
-    def row(kind: str, at: Column, value: Column = nothing["t"], usage: Column | None = None,
+    def row(seq: Column, type_: str | None, data: Column = nothing["t"], usage: Column | None = None,
             error: Column = nothing["t"]) -> Column:
         part = lambda name: usage[name] if usage is not None else nothing["n"]
         return F.struct(
-            at.cast("int").alias("seq"), F.lit(kind).alias("type"), value.alias("text"),
+            seq.cast("int").alias("seq"), F.lit(type_).cast("string").alias("type"), data.alias("data"),
             part("i").alias("input_tokens"), part("o").alias("output_tokens"),
             part("c").alias("cache_hit_tokens"), error.alias("error"))
 
-    events = F.flatten(F.transform("e", lambda x, i: F.when(
-        x["bad"], F.array(row("error", i, error=F.lit("malformed_response")))
-    ).when(x["text"].isNotNull(), F.array(row("delta", i, x["text"]))).otherwise(
-        F.slice(F.array(row("delta", i)), 1, 0))))
-    end = F.size("e")
+    rows = rows.select("resp_id", "done_at", live.alias("live"))
+    rows = rows.withColumn("usage", F.try_element_at(
+        F.filter(F.transform("live", usage_of), lambda u: u.isNotNull()), F.lit(-1)))
+    end = F.size("live")
     closing = F.when(
         F.col("done_at") > 0,
         F.concat(
-            F.when(F.col("usage").isNotNull(), F.array(row("usage", end, usage=F.col("usage")))).otherwise(
-                F.slice(F.array(row("usage", end)), 1, 0)),
-            F.array(row("done", end + 1)))
-    ).otherwise(F.array(row("error", end, error=F.lit("missing_done"))))
-    return described.select("resp_id", F.inline(F.concat(events, closing)))
+            F.when(F.col("usage").isNotNull(), F.array(row(end, "usage", usage=F.col("usage")))).otherwise(
+                F.slice(F.array(row(end, "usage")), 1, 0)),
+            F.array(row(end + 1, "done")))
+    ).otherwise(F.array(row(end, "error", error=F.lit("missing_done"))))
+    # Events become rows before they are judged, so each is parsed once.
+    placed = rows.select("resp_id", F.inline(F.concat(F.transform("live", lambda d, i: row(i, None, d)), closing)))
+    event = F.col("type").isNull()
+    data, tree = F.col("data"), F.col("_tree")
+    parsed = placed.withColumn("_tree", F.when(event, F.try_parse_json("data"))).withColumn(
+        "_usage", F.when(event & (data.contains("usage") | data.contains("\\u")), F.get_json_object("data", "$.usage")))
+    judged = parsed.withColumn("_choices", kind(tree, "$.choices")).withColumn("_content", kind(tree, "$.choices[0].delta.content"))
+    bad_choice = (F.col("_choices") != "") & (
+        ~F.col("_choices").startswith("ARRAY")
+        | ((kind(tree, "$.choices[0]") != "") & ~kind(tree, "$.choices[0].delta").startswith("OBJECT"))
+        | ~F.col("_content").isin("", "VOID", "STRING"))
+    bad = tree.isNull() | ~kind(tree, "$").startswith("OBJECT") | bad_choice | F.when(
+        F.col("_usage").isNotNull(), bad_usage(data, tree)).otherwise(False)
+    described = judged.select(
+        "resp_id", "seq", "type", "input_tokens", "output_tokens", "cache_hit_tokens", "error",
+        F.when(event, F.coalesce(bad, F.lit(True))).alias("_bad"),
+        F.when(F.col("_content") == "STRING", F.try_variant_get(tree, "$.choices[0].delta.content", "string")).alias("_text"))
+    # Rows come out of an array, as a filter here or in a caller would move below the parsing and repeat it.
+    shown = lambda type_, value, error: F.array(F.struct(
+        "seq", type_.alias("type"), value.alias("text"), "input_tokens", "output_tokens", "cache_hit_tokens", error.alias("error")))
+    same = shown(F.col("type"), nothing["t"], F.col("error"))
+    return described.select("resp_id", F.inline(
+        F.when(F.col("_bad").isNull(), same)
+        .when(F.col("_bad"), shown(F.lit("error"), nothing["t"], F.lit("malformed_response")))
+        .when(F.col("_text") != "", shown(F.lit("delta"), F.col("_text"), nothing["t"])).otherwise(F.slice(same, 1, 0))))

@@ -122,3 +122,23 @@ def test_citations_outside_the_packet_fall_back(spark):
                                     "resp_id string, query_id int, source_ids array<string>")
     rows = sorted((r["resp_id"], r["id"]) for r in dialogue.resolve_citations(answers, packet).collect())
     assert rows == [("a", "S2"), ("b", "S1"), ("b", "S2"), ("c", "S1")]
+
+
+def test_completion_events_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    escaped = "{\"us\\u0061ge\": {\"prompt_tokens\": 3, \"completion_tokens\": 4}}"
+    bodies = [
+        ("a", 'data: {"choices":[{"delta":{"content":"x"}}]}\n\ndata: ' + escaped + "\n\ndata: [DONE]\n\ndata: {oops\n\n"),
+        ("b", 'event: z\ndata: {"choices":[{"delta":\ndata: {"content":"y"}}]}\n\ndata:{"choices":[{"delta":{"content":""}}]}\n\ndata\n\n'),
+        ("c", ": note\n\ndata: [1]\n\n"), (None, None), ("d", "")]
+    rows = eventlog.parse_completion_streams(spark.createDataFrame(bodies, "resp_id string, body string"))
+    got = {(r.resp_id, r.seq, r.type, r.text, r.input_tokens, r.output_tokens, r.error) for r in rows.collect()}
+    assert got >= {
+        ("a", 0, "delta", "x", None, None, None), ("a", 2, "usage", None, 3, 4, None), ("a", 3, "done", None, None, None, None),
+        ("b", 0, "delta", "y", None, None, None), ("b", 2, "error", None, None, None, "malformed_response"),
+        ("b", 3, "error", None, None, None, "missing_done"), ("c", 0, "error", None, None, None, "malformed_response"),
+        ("c", 1, "error", None, None, None, "missing_done"), ("d", 0, "error", None, None, None, "missing_done")}
+    # A filter on the rows stays above the parsing.
+    plan = rows.filter(F.col("type") == "delta")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("tryparsejson") + plan.lower().count("parsejson(") + plan.lower().count("parse_json(") <= 6
