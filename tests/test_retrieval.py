@@ -339,3 +339,12 @@ def test_metadata_queries_return_every_chunk(spark, tmp_path, name):
         "phrase_boosts": {f"{kind}src{s}": of(s) for s in (0, 1) for kind in "tas"},
         "alias_coverage": {f"{kind}src{s}": of(s) for s in (0, 1) for kind in "as"}}[name]
     assert {q: sorted(c) for q, c in found.items()} == {q: sorted(c) for q, c in expected.items()}
+
+
+def test_terms_are_counted_without_a_second_tokenization(spark, tmp_path):
+    """Spark infers a filter from a bare exploded column and pushes it, with the tokenizer, into the scan."""
+    rows = [(i, f"alpha beta w{i % 3}", "s") for i in range(9)] + [(9, "", "s"), (10, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["document_frequency"](spark, str(tmp_path))
+    assert "size(array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["term"]: r["df"] for r in found.collect()} == {"alpha": 9, "beta": 9, "w0": 3, "w1": 3, "w2": 3}
