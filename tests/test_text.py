@@ -116,3 +116,11 @@ def test_tokenizers_have_no_python_stage(spark):
     frame = spark.createDataFrame([("Plain text",)], "t string")
     plan = frame.select(text.search_terms(text.build_query_terms(F.col("t"))))
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_tokens_normalize_the_text_once(spark):
+    """The text is the argument of one lambda: neither the Han test nor the tokens repeat its white space pattern."""
+    frame = spark.createDataFrame([(" A　b--c  d'e",), ("中文x",), ("",), (None,)], "t string")
+    found = frame.select(text.build_terms_folded(text.squeeze(F.col("t"))).alias("v"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r["v"] for r in found.collect()] == [["b", "c", "d'e"], ["中文", "x"], [], None]
