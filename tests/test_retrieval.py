@@ -348,3 +348,38 @@ def test_terms_are_counted_without_a_second_tokenization(spark, tmp_path):
     found = QUERIES["document_frequency"](spark, str(tmp_path))
     assert "size(array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["term"]: r["df"] for r in found.collect()} == {"alpha": 9, "beta": 9, "w0": 3, "w1": 3, "w2": 3}
+
+
+def test_blocks_hold_numbers_and_copies_of_an_id_add_up(spark, tmp_path):
+    rows = [chunk(f"s{n % 2}:{n % 40:03d}", f"s{n % 2}", f"alpha beta w{n % 7}" + " pad" * (n % 5), title="x") for n in range(60)]
+    index, queries = lexical.lexical_index(frame(spark, rows)), asked(spark, ["alpha w3", "beta w1 w5", "pad"])
+    index.write(str(tmp_path / "index"), block=8)
+    stored, config = lexical.LexicalIndex.read(spark, str(tmp_path / "index")), RetrievalConfig(minimum_score=0.0)
+    assert set(stored.blocks.select(F.inline("postings")).columns) == {"body_length", "number", "row_id"}
+    assert stored.blocks.agg(F.max(F.size("postings"))).first()[0] <= 8
+    assert stored.chunks.select("chunk_id", "number").distinct().count() == stored.chunks.select("number").distinct().count() == 40
+    assert packets(lexical.lexical_search(queries, stored, config)) == packets(lexical.lexical_search(queries, index, config))
+
+
+def test_hits_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    index = lexical.lexical_index(frame(spark, random_corpus(41)))
+    queries = asked(spark, random_queries(random_corpus(41), 42, 10))
+    want = packets(lexical.lexical_search(queries, index))
+    monkeypatch.setattr(lexical, "TASK_HITS", 16)
+    keys = materialized(lexical.query_keys(queries), "keys")
+    weighted = lexical.weighted_keys(keys, index)
+    hits = lexical.body_hits(weighted, index).count()
+    assert lexical.hit_tasks(weighted) == -(-hits // 16) > 4
+    assert packets(lexical.lexical_search(queries, index)) == want
+
+
+def test_packet_shortlist_is_bounded_by_the_rows_of_a_source(spark):
+    """Rows without a page close none, so they stay behind any number of better rows of one page."""
+    rows = [(1, f"a{n:02d}", "s", None, 1, False, 9.0 - n / 100, False, False) for n in range(12)]
+    rows += [(1, f"b{n}", "s", None, None, False, 5.0 - n, False, False) for n in range(3)]
+    rows += [(1, f"c{p:02d}", "s", None, p, False, 1.0, False, False) for p in range(2, 30)]
+    schema = "query_id int, chunk_id string, source_id string, intent string, page int, is_overview boolean, score double, pin_overview boolean, comparison boolean"
+    candidates = spark.createDataFrame(rows, schema)
+    assert ranking.packet_shortlist(candidates, ["query_id"], ranking._by_score(), 8, 3).count() <= 9
+    got = [r.chunk_id for r in ranking.select_packet(candidates).orderBy("rank").collect()]
+    assert got == ["a00", "b0", "b1"]
