@@ -13,7 +13,7 @@ from evidentia.config import (
     OUTPUT_CODE_POINTS,
 )
 from evidentia.functions import text
-from evidentia.operators.common import positions, top_per
+from evidentia.operators.common import materialized, positions, top_per
 
 SESSION_PATTERN = r"^[A-Za-z0-9_-]{8,128}$"
 _STRINGS = "array<string>"
@@ -144,6 +144,12 @@ def append_turns(history: DataFrame, turns: DataFrame, pairs: int = HISTORY_PAIR
     ).select("conv_id", ((F.lit(pairs) - F.col("_from_end")) * 2 + F.col("side")).alias("slot"), "m.role", "m.text")
 
 
+def _of_results(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """The chunks of the results. Their ids, which are few, are hashed, so the chunks are not sorted for it."""
+    ids = results.select("chunk_id").distinct()
+    return chunks.join(ids.hint("shuffle_hash"), "chunk_id", "left_semi")
+
+
 def packet_sources(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Public fields of the first eight results with markers S1..S8."""
     public = chunks.select(
@@ -188,7 +194,8 @@ def build_prompts(queries: DataFrame, results: DataFrame, chunks: DataFrame, fac
         marker.alias("id"), F.col("source_id").alias("sourceId"), F.col("project_id").alias("projectId"),
         "page", "title", F.col("citation_label").alias("citationLabel"),
         F.col("public_href").alias("publicHref"))
-    packets = results.filter(F.col("rank") <= MAX_SOURCES).join(fields, "chunk_id").groupBy("query_id").agg(
+    shown = materialized(results.filter(F.col("rank") <= MAX_SOURCES), "prompt-results")
+    packets = shown.join(_of_results(fields, shown), "chunk_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", excerpt.alias("e"), source.alias("s")))).alias("p"))
     numbered = F.transform(
         F.array_sort(F.collect_list(F.struct("id", "text"))),

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from evidentia.operators import dialogue, eventlog
+from evidentia.operators import common, dialogue, eventlog
 from evidentia.streaming.citations import split_visible
 
 
@@ -142,3 +142,14 @@ def test_completion_events_are_parsed_once(spark):
     # A filter on the rows stays above the parsing.
     plan = rows.filter(F.col("type") == "delta")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("tryparsejson") + plan.lower().count("parsejson(") + plan.lower().count("parse_json(") <= 6
+
+
+def test_prompt_chunks_are_dealt_by_their_number_and_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_ROWS", 10)
+    ids = spark.range(95).select(F.format_string("c%d", "id").alias("id"))
+    assert common.dealt(ids, "id").rdd.getNumPartitions() == 10
+    chunks = ids.select("id", F.concat(F.lit("text "), "id").alias("text"))
+    results = spark.createDataFrame([(1, "c3"), (2, "c3"), (2, "gone")], "query_id int, chunk_id string")
+    kept = dialogue._of_results(chunks.withColumnRenamed("id", "chunk_id"), results)
+    assert "ShuffledHashJoin" in kept._jdf.queryExecution().toString()
+    assert [r.chunk_id for r in kept.collect()] == ["c3"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.config import AdmissionPolicy
 from evidentia.functions import text
 from evidentia.operators import admission, dialogue, eventlog, lexical
-from evidentia.operators.common import scratch_path
+from evidentia.operators.common import dealt, scratch_path
 from evidentia.streaming import admission as stream_admission
 from evidentia.streaming import citations as stream_citations
 from evidentia.streaming import metrics as stream_metrics
@@ -106,8 +106,8 @@ def append_turns(t):
 
 # --------------------------------------------------------- packets and citations
 def _line_chunks(t):
-    return t.lineitem.groupBy(F.format_string("%d-%d-%d", "l_orderkey", "l_partkey", "l_linenumber").alias("id")).agg(
-        F.max("l_linenumber").alias("page")).select(
+    rows = t.lineitem.select(F.format_string("%d-%d-%d", "l_orderkey", "l_partkey", "l_linenumber").alias("id"), "l_linenumber")
+    return dealt(rows, "id").groupBy("id").agg(F.max("l_linenumber").alias("page")).select(
         "id", F.lit(None).cast("string").alias("project_id"), "page", F.lit("Lines").alias("title"),
         F.concat(F.lit("Lines · "), "id").alias("citation_label"), F.lit("/lines").alias("public_href"),
         F.array("page").alias("evidence_pages"), F.lit("source-excerpt").alias("knowledge_kind"),
