@@ -307,6 +307,35 @@ def test_empty_benchmark_and_corpus(spark, odd_documents):
     assert _hits(odd_documents.limit(0), [(1, "a b")], spark) == []
 
 
+def test_stored_index_is_written_in_groups_of_few_segments(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    build, index = benchmark_decontamination.build_index, []
+    monkeypatch.setattr(benchmark_decontamination, "build_index", lambda docs: build(docs, segment_tokens=1))
+    monkeypatch.setattr(benchmark_decontamination, "search", lambda df, *a, **k: index.append(df))
+    docs = spark.createDataFrame([(i, f"a{i} b") for i in range(40)], "doc_id long, text string").coalesce(1)
+    benchmark_decontamination.find_contamination(docs, None)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index[0].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == 40 and max(groups) <= benchmark_decontamination.GROUP_SEGMENTS
+
+
+def test_windows_in_turns_of_few_postings(monkeypatch):
+    """A worker keeps an item by its words, not by its windows; turns do not change the matches."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(200)) for _ in range(8)]
+    segment = benchmark_decontamination._Segment(64)
+    for i, t in enumerate(texts):
+        segment.add(i, t.encode().split())
+    row = segment.row()
+    windows = benchmark_decontamination.Windows([*enumerate(texts * 2), (99, "a b c"), (100, "")], 5)
+    assert sum(getattr(v, "nbytes", 0) for v in vars(windows).values()) < 13 * len(windows.owner)
+    once = benchmark_decontamination.match_windows(windows, row["terms"], row["list_starts"], row["postings"])
+    monkeypatch.setattr(benchmark_decontamination, "CANDIDATES", 50)
+    turns = benchmark_decontamination.match_windows(windows, row["terms"], row["list_starts"], row["postings"])
+    assert len(once[0]) > len(texts) * 196 * 2 and all((a == b).all() for a, b in zip(once, turns))
+
+
 def test_words_with_special_tokens_keep_their_case():
     from tokenizers import Tokenizer
 
