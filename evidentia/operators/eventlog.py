@@ -33,26 +33,33 @@ _STRINGS = "array<string>"
 
 
 def _unix_lines(c: Column) -> Column:
-    return F.regexp_replace(c, "\r\n?", "\n")
+    return F.when(c.contains("\r"), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
 
 
 def _field_values(lines: Column, name: str) -> Column:
     """Values of one field in a block, comments and other fields ignored."""
     kept = F.filter(lines, lambda l: (l == name) | l.startswith(name + ":"))
-    return F.transform(kept, lambda l: F.regexp_replace(
-        F.substring(l, F.lit(len(name) + 2), F.char_length(l)), "^ ", ""))
+    return F.transform(kept, lambda l: F.substring(l, F.when(l.startswith(name + ": "), len(name) + 3).otherwise(
+        len(name) + 2), F.char_length(l)))
 
 
-def event_blocks(bodies: DataFrame) -> DataFrame:
-    """(resp_id, seq, block, terminated) of every non-empty block.
+def _placed_blocks(bodies: DataFrame, *carried: Column) -> DataFrame:
+    """(resp_id, carried, seq, block, terminated) of every block, empty ones too.
 
     Only the last piece of a split body has no end of its own.
     """
-    split = bodies.select("resp_id", F.split(_unix_lines(F.col("body")), "\n\n", -1).alias("blocks"))
-    placed = split.select("resp_id", F.size("blocks").alias("n"), F.posexplode("blocks").alias("seq", "block"))
-    return placed.select(
-        "resp_id", "seq", "block", (F.col("seq") < F.col("n") - 1).alias("terminated"),
-    ).filter((F.col("block") != "") & (F.col("terminated") | F.col("block").rlike(f"[^{text.SPACE}]")))
+    split = bodies.select("resp_id", *carried, F.split(_unix_lines(F.col("body")), "\n\n", -1).alias("_blocks"))
+    placed = split.select("*", F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("seq", "block"))
+    return placed.withColumn("terminated", F.col("seq") < F.col("_n") - 1).drop("_blocks", "_n")
+
+
+def _is_event() -> Column:
+    return (F.col("block") != "") & (F.col("terminated") | F.col("block").rlike(f"[^{text.SPACE}]"))
+
+
+def event_blocks(bodies: DataFrame) -> DataFrame:
+    """(resp_id, seq, block, terminated) of every non-empty block."""
+    return _placed_blocks(bodies).filter(_is_event())
 
 
 def parse_event_streams(bodies: DataFrame, strict: bool = False) -> DataFrame:
@@ -194,18 +201,33 @@ def check_protocol(events: DataFrame, locales: DataFrame | None = None) -> DataF
 def check_stream_limits(bodies: DataFrame) -> DataFrame:
     """Findings per response: event bytes, stream bytes, output code points.
 
-    The output limit is crossed at some event exactly when the total crosses it.
+    The output limit is crossed at some event exactly when the total crosses it. Bodies are read once: blocks become
+    rows, only those that can be a delta are parsed, and of these only the lengths are added up per response.
     """
-    key = F.col("resp_id")
-    large = event_blocks(bodies).filter(F.octet_length("block") > EVENT_BYTES)
-    deltas = parse_event_streams(bodies).filter("type = 'delta' AND error IS NULL")
-    output = deltas.groupBy("resp_id").agg(
-        F.sum(F.char_length(F.coalesce(F.get_json_object("data", "$.text"), F.lit("")))).alias("n"))
-    return union_all([
-        violations(large, "event_bytes", key, F.col("seq")),
-        violations(bodies.filter(F.octet_length("body") > STREAM_BYTES), "stream_bytes", key),
-        violations(output.filter(F.col("n") > OUTPUT_CODE_POINTS), "output_code_points", key, F.col("n")),
-    ])
+    block = F.col("block")
+    blocks = _placed_blocks(bodies, (F.octet_length("body") > STREAM_BYTES).alias("_long"))
+    # The same deltas as parse_event_streams finds: an event name and data, both complete.
+    named = F.col("terminated") & block.contains("delta") & block.contains("event") & block.contains("data")
+    lines = blocks.withColumn("_lines", F.when(named, F.split("block", "\n", -1)))
+    datas = lines.withColumn("_data", F.when(
+        F.try_element_at(_field_values(F.col("_lines"), "event"), F.lit(-1)) == "delta", _field_values(F.col("_lines"), "data")))
+    data = datas.withColumn("_data", F.when(F.size("_data") > 0, F.array_join("_data", "\n")))
+    told = data.withColumn("_n", F.when(F.try_parse_json("_data").isNotNull(), F.char_length(
+        F.coalesce(F.get_json_object("_data", "$.text"), F.lit(""))).cast("bigint")))
+
+    def found(rule: str, broken: Column, detail: Column, n: Column) -> Column:
+        return F.when(broken, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"), n.cast("bigint").alias("n")))
+
+    none = F.lit(None)
+    findings = told.select("resp_id", F.inline(F.array_compact(F.array(
+        found("event_bytes", (F.octet_length("block") > EVENT_BYTES) & _is_event(), F.col("seq"), none),
+        found("stream_bytes", (F.col("seq") == 0) & F.col("_long"), none, none),
+        found("output_code_points", F.col("_n").isNotNull(), none, F.col("_n"))))))
+    # Lengths are added up; every other finding is a group of its own.
+    turn = F.when(F.col("rule") != "output_code_points", F.monotonically_increasing_id())
+    added = findings.withColumn("_turn", turn).groupBy("rule", "resp_id", "detail", "_turn").agg(F.sum("n").alias("n"))
+    return added.filter(F.col("n").isNull() | (F.col("n") > OUTPUT_CODE_POINTS)).select(
+        "rule", F.col("resp_id").cast("string").alias("key"), F.coalesce("detail", F.col("n").cast("string")).alias("detail"))
 
 
 def _units(c: Column) -> Column:

@@ -153,3 +153,25 @@ def test_prompt_chunks_are_dealt_by_their_number_and_not_sorted(spark, monkeypat
     kept = dialogue._of_results(chunks.withColumnRenamed("id", "chunk_id"), results)
     assert "ShuffledHashJoin" in kept._jdf.queryExecution().toString()
     assert [r.chunk_id for r in kept.collect()] == ["c3"]
+
+
+def test_stream_limits_read_a_body_once(spark, tmp_path):
+    def delta(n, end="\n\n"):
+        return 'event: delta\ndata: {"text":"' + "z" * n + '"}' + end
+
+    large = ":" + "x" * 70_000 + "\n\n"
+    rows = [
+        (1, delta(5_000)), (1, delta(3_193)),                                # two bodies of one response
+        (2, delta(8_192)), (3, delta(9_000, "\n")), (4, None), (5, ""),      # at the limit, without its end
+        (6, delta(9_000).replace("\n", "\r\n")), (7, "event: delta\ndata: {broken " + "z" * 9_000 + "\n\n"),
+        (8, "event:start\nevent:delta\ndata:[1,\ndata: 2]\n\n" + delta(9_000).replace("delta", "done")),
+        (9, large + delta(1) + large), (9, large), (10, ":y\n\n" * 270_000), (None, delta(9_000)), (None, large), (11, "x" * 66_000),
+    ]
+    spark.createDataFrame(rows, "resp_id long, body string").write.parquet(str(tmp_path / "bodies"))
+    found = eventlog.check_stream_limits(spark.read.parquet(str(tmp_path / "bodies")))
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = sorted(map(str, map(tuple, found.select("rule", "key", "detail").collect())))
+    want = [("output_code_points", "1", "8193"), ("output_code_points", "6", "9000"), ("output_code_points", None, "9000"),
+            ("event_bytes", "9", "0"), ("event_bytes", "9", "2"), ("event_bytes", "9", "0"), ("event_bytes", None, "0"),
+            ("event_bytes", "11", "0"), ("stream_bytes", "10", None)]
+    assert got == sorted(map(str, want))
