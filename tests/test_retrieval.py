@@ -371,3 +371,17 @@ def test_hits_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     hits = lexical.body_hits(weighted, index).count()
     assert lexical.hit_tasks(weighted) == -(-hits // 16) > 4
     assert packets(lexical.lexical_search(queries, index)) == want
+
+
+def test_best_candidates_compare_only_pairs_of_the_best_score(spark, monkeypatch):
+    facts = spark.createDataFrame([
+        (0, "a", "t", True), (1, "b", "t", True), (2, "c", "u", False), (3, "d", "", False), (4, "e", None, False),
+        (5, "f", "v", True), (6, "g", "v", True)], "chunk_number long, chunk_id string, text_key string, copied boolean")
+    pairs = spark.createDataFrame([
+        (1, 0, 5.0), (1, 1, 5.0000002), (1, 2, 5.0000001), (1, 3, 9.0),     # b displaces its copy a, blank texts drop
+        (2, 2, 4.0), (2, 4, 4.0), (2, 0, 3.0), (3, 5, 2.5), (3, 6, 2.5), (4, 3, 7.0), (5, 6, 3.1), (5, 5, 3.2),
+    ], "query_id long, chunk_number long, score double")
+    compared, plain = [], ranking.distinct_candidates
+    monkeypatch.setattr(ranking, "distinct_candidates", lambda rows: (compared.append(rows.count()), plain(rows))[1])
+    got = sorted(map(tuple, ranking.best_candidates(pairs, facts).collect()))
+    assert got == [(1, "b", 5.0), (2, "c", 4.0), (3, "f", 2.5), (5, "f", 3.2)] and compared == [8]
